@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinsift.llm import components, leakage, neardup, setjoin, spans, tokenizer
+from twinsift.llm import components, handwritten, leakage, neardup, sentences, setjoin, spans, syntax, tokenizer
 from twinsift.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,19 @@ def p1_classes(spark: SparkSession, folder: str) -> DataFrame:
     return setjoin.rule_classes(table(spark, folder, "css_rules"), table(spark, folder, "library_rules"))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return syntax.failures(table(spark, folder, "source_files")).select("file_id")
+
+
+def p2_failures(spark: SparkSession, folder: str) -> DataFrame:
+    """Failure rows: the path as repository and path, and the message of the first error."""
+    return syntax.failures(table(spark, folder, "source_files")).select(F.concat_ws("/", "repo", "path").alias("path"), "message")
+
+
+def p2_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return syntax.failure_rates(table(spark, folder, "source_files"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return components.unit_groups(table(spark, folder, "edges"))
 
@@ -34,6 +47,19 @@ def p3_sizes(spark: SparkSession, folder: str) -> DataFrame:
     return components.group_sizes(components.unit_groups(table(spark, folder, "edges")))
 
 
+def p4_method(spark: SparkSession, folder: str) -> DataFrame:
+    """The identifier models alone, over the whole table."""
+    return handwritten.named_verdicts(table(spark, folder, "source_files"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return handwritten.classify(table(spark, folder, "source_files")).select("file_id")
+
+
+def p4_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    return handwritten.classify(table(spark, folder, "source_files"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.found_pairs(table(spark, folder, "source_files"), table(spark, folder, "units")).select("rec", "a", "b")
 
@@ -82,6 +108,18 @@ def p8_templates(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.template_hits(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return sentences.split_sentences(table(spark, folder, "documents")).select("doc_id", "sent_end")
+
+
+def p9_sentences(spark: SparkSession, folder: str) -> DataFrame:
+    """Every sentence with its text."""
+    documents = table(spark, folder, "documents")
+    cut = sentences.split_sentences(documents)
+    body = F.substring("text", F.col("sent_start") + 1, F.col("sent_end") - F.col("sent_start"))
+    return cut.join(documents.select("doc_id", "text"), "doc_id").select("doc_id", "sent_no", body.alias("sentence"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
 
@@ -99,15 +137,37 @@ pair AS (
 """
 _P3 = """
 WITH RECURSIVE l AS (
-  SELECT DISTINCT a, b FROM edges WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b AND NOT isnan(similarity) AND similarity BETWEEN 0.85 AND 1
-), s AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
-reach(unit_id, other) AS (SELECT a, a FROM s UNION SELECT r.unit_id, s.b FROM reach r JOIN s ON r.other = s.a WHERE r.unit_id > s.b OR true),
-g AS (SELECT unit_id, min(other) AS group_id FROM reach GROUP BY unit_id)
+  SELECT DISTINCT least(a, b) AS x, greatest(a, b) AS y FROM edges
+  WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b AND similarity IS NOT NULL AND NOT isnan(similarity) AND similarity BETWEEN 0.85 AND 1
+), s AS (SELECT x AS a, y AS b FROM l UNION SELECT y, x FROM l),
+lower(unit_id, least_id) AS (
+  SELECT a, a FROM s UNION SELECT s.b, r.least_id FROM lower r JOIN s ON r.unit_id = s.a WHERE r.least_id < s.b
+), g AS (SELECT unit_id, min(least_id) AS group_id FROM lower GROUP BY unit_id)
+"""
+_WORDS = """
+w AS (SELECT file_id AS id, regexp_extract_all(lower(any_value(text)), '[a-z0-9_]+') AS w FROM source_files WHERE file_id IS NOT NULL AND text IS NOT NULL GROUP BY file_id),
+shingle AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - {last}), lambda i: {run})) AS f FROM w WHERE len(w) > {last}),
+size AS (SELECT id, count(*) AS n FROM shingle GROUP BY id),
+met AS (SELECT x.id AS a, y.id AS b, count(*) AS o FROM shingle x JOIN shingle y ON x.f = y.f AND x.id < y.id GROUP BY 1, 2)
+"""
+_UNITS = """
+u AS (SELECT unit_id AS id, any_value(list_distinct(list_filter(features, lambda x: x IS NOT NULL))) AS s FROM units WHERE unit_id IS NOT NULL AND features IS NOT NULL GROUP BY unit_id),
+e AS (SELECT id, len(s) AS n, unnest(s) AS f FROM u),
+unit_met AS (SELECT x.id AS a, y.id AS b, count(*) AS o, any_value(x.n + y.n) AS n FROM e x JOIN e y ON x.f = y.f AND x.id < y.id AND x.n * 5 >= y.n * 4 AND y.n * 5 >= x.n * 4 GROUP BY 1, 2)
 """
-
-
 def oracle_sql() -> dict[str, str]:
+    words = _WORDS.format(last=2, run="w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]")
     return {
         "p1_found": _P1 + "SELECT rule_a, rule_b FROM pair WHERE o * 100 >= 85 * (n - o)",
         "p1_pairs": _P1 + "SELECT rule_a, rule_b, o / (n - o) AS jaccard FROM pair WHERE o * 100 >= 85 * (n - o)",
+        "p3_found": _P3 + "SELECT group_id, unit_id FROM g",
+        "p3_sizes": _P3 + "SELECT group_id, count(*) AS members FROM g GROUP BY group_id",
+        "p5_found": f"""
+WITH {words}, {_UNITS}
+SELECT 'file' AS rec, a, b FROM met JOIN size x ON x.id = a JOIN size y ON y.id = b WHERE o * 10 >= 7 * (x.n + y.n - o)
+UNION ALL SELECT 'unit', a, b FROM unit_met WHERE o * 10 >= 8 * (n - o)""",
+        "p6_found": """
+WITH t AS (SELECT file_id, any_value(text) AS text FROM source_files WHERE file_id IS NOT NULL AND length(text) >= 300 GROUP BY file_id),
+g AS (SELECT DISTINCT file_id, substr(text, p, 300) AS run FROM (SELECT file_id, text, unnest(range(1, length(text) - 298)) AS p FROM t))
+SELECT DISTINCT x.file_id AS file_a, y.file_id AS file_b FROM g x JOIN g y ON x.run = y.run AND x.file_id < y.file_id""",
     }
