@@ -146,7 +146,7 @@ lower(unit_id, least_id) AS (
 """
 _WORDS = """
 w AS (SELECT file_id AS id, regexp_extract_all(lower(any_value(text)), '[a-z0-9_]+') AS w FROM source_files WHERE file_id IS NOT NULL AND text IS NOT NULL GROUP BY file_id),
-shingle AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - {last}), lambda i: {run})) AS f FROM w WHERE len(w) > {last}),
+shingle AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - {last} + 1), lambda i: {run})) AS f FROM w WHERE len(w) > {last}),
 size AS (SELECT id, count(*) AS n FROM shingle GROUP BY id),
 met AS (SELECT x.id AS a, y.id AS b, count(*) AS o FROM shingle x JOIN shingle y ON x.f = y.f AND x.id < y.id GROUP BY 1, 2)
 """
