@@ -1,0 +1,3 @@
+"""Duplicate and dead code audits, and set and text similarity at scale, on Spark DataFrames."""
+
+__version__ = "0.1.0"
