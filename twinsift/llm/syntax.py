@@ -1398,10 +1398,11 @@ _css_custom = re.compile(r"\s*--[\w-]+\s*:", re.I)
 _css_value = re.compile(r"(?:[\w\u0080-\U0010ffff%.,+*/#()\[\]\s\"-]|!ie|\\.|=|:|\$|\?|&|<|>|\|)+", re.I)
 _css_plain = re.compile(r"[\w\u0080-\U0010ffff%.,+*/#()\s\"-]+\Z")
 _css_compound = (
-    rf"(?:(?:\*|&|(?:{_css_name}|\*)?\|(?:{_css_name}|\*)|{_css_name}|\d+(?:\.\d+)?%)?"
+    rf"(?=[^\s>+~,])(?:(?:\*|&|(?:{_css_name}|\*)?\|(?:{_css_name}|\*)|{_css_name}|\d+(?:\.\d+)?%)?"
     rf"(?:[#.]{_css_name}|#[\w-]+|\[\s*{_css_name}(?:\|{_css_name})?\s*(?:[~|^$*]?=\s*(?:\"\"|{_css_name}|\d+)\s*(?:[iIsS]\s*)?)?\]|::?{_css_name}(?:\([^(){{}}]*(?:\([^(){{}}]*\)[^(){{}}]*)*\))?)*)"
 )
-_css_selector = re.compile(rf"\s*(?:[>+~]\s*)?{_css_compound}(?:\s*[>+~]\s*{_css_compound}|\s+{_css_compound})*\s*\Z")
+#: Over a selector whose white space is collapsed: one reading for each text, so no backtracking into it.
+_css_selector = re.compile(rf"(?:[>+~] ?)?{_css_compound}(?:(?: ?[>+~] ?| ){_css_compound})*\Z")
 _css_at = re.compile(rf"\s*@({_css_name})([^{{}};]*)\Z", re.S)
 _css_split = re.compile(r"[{};]")
 #: At-rules whose block holds declarations, and those that end without a block.
@@ -1438,7 +1439,6 @@ def _commas(part: str) -> list[str]:
 def style_error(text: str) -> tuple[int, str] | None:
     """The first place where a style sheet is not valid, without the recovery that browsers apply."""
     blank = lambda m: re.sub(r"[^\n\r]", " ", m.group())
-    quiet = lambda m: '"' + " " * (len(m.group()) - 2) + '"' if "\n" not in m.group() else blank(m)
     # comments and strings are told apart in one pass: each may hold the other's signs
     out, i = [], 0
     for m in re.finditer(r"/\*|[\"']", text):
@@ -1470,7 +1470,7 @@ def style_error(text: str) -> tuple[int, str] | None:
                 continue
             if holds == "frames" and not re.fullmatch(r"\s*(?:from|to|[\d.]+%)(?:\s*,\s*(?:from|to|[\d.]+%))*\s*", part, re.I):
                 return begin, "invalid keyframe"
-            if not part.strip() or not all(x.strip() and _css_selector.match(x) for x in _commas(part)):
+            if not part.strip() or not all(_css_selector.match(" ".join(x.split())) for x in _commas(part)):
                 return begin, "invalid selector" if part.strip() else "a selector expected"
             stack.append(("both", at))
         elif sign == ";":
@@ -1496,6 +1496,7 @@ def style_error(text: str) -> tuple[int, str] | None:
 
 
 def _declaration(part: str) -> bool:
+    part = re.sub(r"[ \t]+", " ", part.strip())
     if _css_custom.match(part):
         return _brackets(part)
     m = _css_declaration.match(part)
