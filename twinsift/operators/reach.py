@@ -65,8 +65,9 @@ def mentions(needles: DataFrame, texts: DataFrame, least: int = 4) -> DataFrame:
     text, so no text is held against every needle.
     """
     fit = needles.where((F.length("needle") >= least) & ~F.col("needle").isin(*GENERIC_NAMES))
-    grams = texts.select("path", "ord", "text").where(F.length("text") >= least)
+    kept = texts.select(F.xxhash64("path", "ord", "text").alias("tid"), "path", "ord", "text").where(F.length("text") >= least)
     start = F.sequence(F.lit(1), F.length("text") - least + 1)
-    index = grams.select("path", "ord", "text", F.explode(F.array_distinct(F.transform(start, lambda i: F.substring("text", i, F.lit(least))))).alias("gram"))
-    hit = fit.withColumn("gram", F.substring("needle", 1, least)).join(index, "gram").where((F.col("path") != F.col("exclude")) & F.contains("text", F.col("needle")))
+    grams = kept.select("tid", "path", F.explode(F.array_distinct(F.transform(start, lambda i: F.substring("text", i, F.lit(least))))).alias("gram"))
+    near = fit.withColumn("gram", F.substring("needle", 1, least)).join(grams, "gram").where(F.col("path") != F.col("exclude")).select("id", "needle", "tid").distinct()
+    hit = near.join(kept, "tid").where(F.contains("text", F.col("needle")))
     return hit.groupBy("id", "needle").agg(F.min_by("path", F.struct("ord", "path")).alias("path"))
