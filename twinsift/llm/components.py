@@ -1,10 +1,11 @@
 """Problem 3: consolidating pairwise matches into groups by low-diameter decomposition.
 
 Every round draws an exponential shift for each vertex; a vertex whose shift is large starts to grow a cluster early,
-and a vertex joins the cluster that reaches it first (arrival = start + hops). Clusters become super-vertices, edges
-inside a cluster vanish, and the next round works on the edges between clusters. The per-round assignments are composed
-at the end. A round has a fixed number of steps, so a chain of any depth takes a number of rounds that is logarithmic
-in its length, and a hub is absorbed in one round.
+and a vertex joins the cluster that reaches it first (arrival = start + hops) within ``RADIUS`` hops. Clusters become
+super-vertices, edges inside a cluster vanish, and the next round works on the edges between clusters. The per-round
+assignments are composed at the end. A smaller ``BETA`` spreads the shifts and leaves fewer edges between clusters: an
+edge on its own survives a round with probability ``1 - exp(-BETA)``. A round has a fixed number of steps, so a chain of
+any depth takes a number of rounds that is logarithmic in its length, and a hub is absorbed in one round.
 
 Nothing is collected: a round is one table of assignments and one table of remaining edges, both written to the shared
 folder. Messages to a vertex are reduced by ``min`` before the shuffle, so a hub that touches a third of all edges
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 
 from twinsift.session import Scratch
 
-#: Growth rate of the exponential shifts, and the largest shift: a cluster has at most this radius.
-BETA = 0.7
+#: Rate of the exponential shifts, and the hops that a cluster grows in a round.
+BETA = 0.05
 RADIUS = 3
 SEED = 20_240_601
 
@@ -40,26 +41,29 @@ def valid_links(edges: DataFrame, low: float = 0.85, high: float = 1.0) -> DataF
     )
 
 
-def _start(vertex: Column, round_no: int, beta: float, radius: int) -> Column:
-    """Time at which a vertex begins its own cluster: the largest shift minus its exponential draw."""
-    mantissa = F.pmod(F.xxhash64(F.lit(SEED), F.lit(round_no), vertex), F.lit(1 << 52)).cast("double")
+def _start(vertex: Column, turn: Column, beta: float) -> Column:
+    """Time at which a vertex begins its own cluster: its exponential draw before time 0.
+
+    The draw is fresh in every round. Its number is a column, so that all rounds run the same generated code.
+    """
+    mantissa = F.pmod(F.xxhash64(F.lit(SEED), turn, vertex), F.lit(1 << 52)).cast("double")
     uniform = (mantissa + 1.0) / float(1 << 52)
-    return F.greatest(F.lit(0.0), F.lit(float(radius)) + F.log(uniform) / beta)
+    return F.log(uniform) / beta
 
 
-def _grow(links: DataFrame, round_no: int, beta: float, radius: int) -> DataFrame:
-    """One decomposition of the graph ``links(x, y)``: ``(v, c)``, the centre whose cluster reaches each vertex first."""
+def _grow(links: DataFrame, beta: float, radius: int) -> DataFrame:
+    """One decomposition of the graph ``links(x, y, turn)``: ``(v, c)``, the centre whose cluster reaches each vertex first."""
     ends = F.array(
-        F.struct(F.col("x").alias("src"), F.col("y").alias("dst")),
-        F.struct(F.col("y").alias("src"), F.col("x").alias("dst")),
+        F.struct(F.col("x").alias("src"), F.col("y").alias("dst"), "turn"),
+        F.struct(F.col("y").alias("src"), F.col("x").alias("dst"), "turn"),
     )
-    both = links.select(F.explode(ends).alias("e")).select("e.src", "e.dst")
-    stay = both.select("src").distinct().select("src", F.col("src").alias("dst"))
+    both = links.select(F.explode(ends).alias("e")).select("e.src", "e.dst", "e.turn")
+    stay = both.select("src", "turn").distinct().select("src", F.col("src").alias("dst"), "turn")
     arcs = both.unionByName(stay)
     hop = F.when(F.col("src") == F.col("dst"), 0.0).otherwise(1.0)
     first = arcs.select(
         F.col("dst").alias("v"),
-        F.struct((_start(F.col("src"), round_no, beta, radius) + hop).alias("at"), F.col("src").alias("c")).alias("m"),
+        F.struct((_start(F.col("src"), F.col("turn"), beta) + hop).alias("at"), F.col("src").alias("c")).alias("m"),
     )
     state = first.groupBy("v").agg(F.min("m").alias("m"))
     for _ in range(radius - 1):
@@ -76,10 +80,10 @@ def decompose(links: DataFrame, beta: float = BETA, radius: int = RADIUS) -> Dat
     An empty graph gives an empty result. ``links`` must hold no nulls and no loops (see ``valid_links``).
     """
     scratch = Scratch(links.sparkSession, "ldd")
-    rest = scratch.cut(links.select("x", "y"), "links")
+    rest = scratch.cut(links.select("x", "y", F.lit(0).alias("turn")), "links")
     maps: list[DataFrame] = []
     while not rest.isEmpty():
-        grown = scratch.cut(_grow(rest, len(maps), beta, radius), "assignment")
+        grown = scratch.cut(_grow(rest, beta, radius), "assignment")
         maps.append(grown)
         to_x = grown.select(F.col("v").alias("x"), F.col("c").alias("cx"))
         to_y = grown.select(F.col("v").alias("y"), F.col("c").alias("cy"))
@@ -87,7 +91,7 @@ def decompose(links: DataFrame, beta: float = BETA, radius: int = RADIUS) -> Dat
             rest.join(to_x, "x")
             .join(to_y, "y")
             .where(F.col("cx") != F.col("cy"))
-            .select(F.least("cx", "cy").alias("x"), F.greatest("cx", "cy").alias("y"))
+            .select(F.least("cx", "cy").alias("x"), F.greatest("cx", "cy").alias("y"), (F.col("turn") + 1).alias("turn"))
             .distinct()
         )
         contracted = scratch.cut(between, "links")
