@@ -4,8 +4,8 @@ A text is cut at blank lines. Within a block every place that could end a senten
 its closing quotes, before and after a bracketed unit, and at white space in Thai. The programme then chooses whole
 spans, not single cuts: a span scores by the word that closes it, the word that opens the next one, its length, and
 whether its quotation marks and brackets balance, so that a quotation stays with the words that introduce it and an
-interruption is a sentence only where the sentence around it has ended. The best total wins. Cuts that no span could
-bridge split the programme, which keeps it linear in the text.
+interruption is a sentence only where the sentence around it has ended. The best total wins. Spans that bridge a certain
+cut are not tried, which keeps the programme linear in the text.
 """
 
 from __future__ import annotations
@@ -56,10 +56,16 @@ _strong = frozenset("!?。！？．؟۔।॥")
 _cjk = re.compile(r"[぀-ヿ㐀-鿿＀-￯]")
 _marks = re.compile(r"[\"“”„«»「」『』《》]")
 
+_content = re.compile(r"[^\s.!?…。！？]").search
+
 #: Scores: a cut in the middle of a quotation or bracket, a unit that is only an interruption, a cut behind one that is not.
 UNBALANCED, ALONE, BEHIND = -7.0, 15.0, -8.0
-#: A cut of at least this score at which everything balances is taken without comparing spans.
-CERTAIN = 6.0
+#: A span over a cut of at least this score loses to the two spans that meet there, where one of them balances.
+CERTAIN = 3.5
+#: So many units in a row are sentences of their own.
+UNITS = 4
+#: Characters before a terminator in which its word is looked for; no abbreviation is longer.
+WORD = 48
 
 
 def _units(block: str) -> list[tuple[int, int]]:
@@ -133,7 +139,7 @@ def _cut_score(block: str, begin: int, mark: int, end: int, after: int, style: S
     closed = any(c in "\"”“»」』" for c in stop)
     gap = after > end and block[end:after].isspace() or after >= len(block) or block[end : end + 1].isspace()
     if closed and word:
-        if word in SAYS and (not style.cased or open_ < 0) and (word != "a" or re.match(r"\s*a\s+(?:dit|demand|répond|lanc|déclar)", block[after:], re.I)):
+        if word in SAYS and (not style.cased or open_ < 0) and (word != "a" or re.match(r"\s*a\s+(?:dit|demand|répond|lanc|déclar)", block[after : after + 40], re.I)):
             return -12.0
         if _says_cjk.match(block, end):
             return -12.0
@@ -153,7 +159,7 @@ def _cut_score(block: str, begin: int, mark: int, end: int, after: int, style: S
             return 2.0 if closed else -9.0
         if not style.tight and not closed and not (open_ == 5.0 or open_ == 3.0 and not block[end].isupper() and ord(block[end]) > 0x590):
             return -9.0
-    before = _last_word.search(block, begin, mark).group().strip("​­﻿‍‌")
+    before = _last_word.search(block, max(begin, mark - WORD), mark).group().strip("​­﻿‍‌")
     low = before.casefold().replace("’", "'")
     at_end = after >= len(block)
     if closed:
@@ -211,6 +217,7 @@ def block_ends(block: str, style: Style) -> list[int]:
             else:
                 return i
 
+    last = -1
     for m in _stop.finditer(block):
         mark, end = m.start(), m.end()
         if inside[mark] or end > n:
@@ -221,7 +228,10 @@ def block_ends(block: str, style: Style) -> list[int]:
         after = beyond(k)
         score = _cut_score(block, start, mark, end, after, style)
         if score > -9.5:
+            if last > 0 and not _content(block[last:mark]):
+                candidates.pop(last, None)  # terminators with nothing between them end one sentence
             candidates[end] = max(score, candidates.get(end, -99.0))
+            last = end
     if thai:
         for m in re.finditer(r"\s+", block[start:]):
             i, j = m.start() + start, m.end() + start
@@ -279,14 +289,19 @@ def block_ends(block: str, style: Style) -> list[int]:
         return total
 
     best, back = [float("-inf")] * len(cuts), [0] * len(cuts)
-    best[0], floor = 0.0, 0
+    best[0] = 0.0
+    chain = [0] * len(cuts)  # units standing one behind the other, up to each cut
+    for j in range(1, len(cuts)):
+        if unit_at.get(begins[j - 1]) == cuts[j]:
+            chain[j] = chain[j - 1] + 1
+    sure = [x >= CERTAIN or k >= UNITS for x, k in zip(score, chain)]
     for j in range(1, len(cuts)):
-        for i in range(j - 1, floor - 1, -1):
+        for i in range(j - 1, -1, -1):
             s = best[i] + span(i, j)
             if s > best[j] + 1e-9:
                 best[j], back[j] = s, i
-        if score[j] >= CERTAIN and state[j] == state[0]:
-            floor = j  # nothing bridges it: later spans begin here at the earliest
+            if sure[i] and state[i] == state[j]:
+                break  # a longer span would bridge this cut, and gain nothing by it
     ends, j = [], len(cuts) - 1
     while j > 0:
         ends.append(cuts[j])

@@ -29,6 +29,8 @@ from twinsift.session import Scratch
 THRESHOLD = 0.85
 MIN_SIZE = 3
 SUBSET_BUDGET = 48
+#: No set is small beyond this size, however few subsets a threshold near 1 asks for.
+LARGEST_SMALL = 256
 #: An inverted list longer than this share of all distinct sets (and than HOT_LEAST) is scanned by combinations.
 HOT_SHARE, HOT_LEAST, HOT_RUN = 0.002, 200, 3
 
@@ -53,7 +55,7 @@ class SizeRule:
 
     def largest_small(self, budget: int) -> int:
         s = 1
-        while self.subsets(s + 1) <= budget:
+        while s < LARGEST_SMALL and self.subsets(s + 1) <= budget:
             s += 1
         return s
 

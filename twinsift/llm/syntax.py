@@ -646,7 +646,9 @@ class Script:
                             raise where(kind, t, i)
                     elif t in UNARY:
                         before = t
-                        if t in ("await", "yield") and (text[(j := skip(text, end).end()) : j + 1] in (")", ";", ",", "}", "]", ":", "") or _LINE(text, end, j)):
+                        if t == "yield" and text.startswith("*", j := skip(text, end).end()):
+                            end = j + 1
+                        elif t in ("await", "yield") and (text[(j := skip(text, end).end()) : j + 1] in (")", ";", ",", "}", "]", ":", "") or _LINE(text, end, j)):
                             state = OPERATOR
                     elif t == "function":
                         i, state, frame, opened, declares, extra, functions = self.function(end, stack, frame, opened, declares, extra, functions, OPERATOR)
@@ -657,6 +659,8 @@ class Script:
                         frame, opened, declares, extra, state = CLASS, i, False, OPERATOR, MEMBER
                     elif t == "async" and (m := token(text, skip(text, end).end())) and m.lastgroup == "name" and not _LINE(text, end, m.start()):
                         before = "async"
+                    elif t == "async" and typed and text.startswith("<", j := skip(text, end).end()):
+                        end = self.type_parameters(j)
                     elif t in RESERVED and t != "import":
                         raise where(kind, t, i)
                     else:
@@ -898,7 +902,7 @@ class Script:
                         i, state = self.expect(":", end), START
                     else:
                         extra, state, before, i = "case", OPERAND, "", end
-                elif typed and t in ("interface", "type", "enum", "namespace", "module", "declare") and (m := re.compile(rf"[ \t]+({_ID}|\"[^\"\n]*\"|'[^'\n]*')").match(text, end)):
+                elif typed and t in ("interface", "type", "enum", "namespace", "module", "declare") and (m := re.compile(rf"[ \t]+({_ID}(?:\.{_ID})*|\"[^\"\n]*\"|'[^'\n]*')").match(text, end)):
                     if t == "declare":
                         i = end
                         j = skip(text, end).end()
@@ -1468,12 +1472,17 @@ def style_error(text: str) -> tuple[int, str] | None:
                     return begin, f"invalid '@{name}'"
                 stack.append(("declarations" if name in AT_DECLARATIONS else "frames" if name.endswith("keyframes") else "both" if holds in ("declarations", "both") and stack and stack[-1][0] != "rules" else "rules", at))
                 continue
+            if holds == "custom" or holds != "rules" and _css_custom.match(part):
+                stack.append(("custom", at))
+                continue
             if holds == "frames" and not re.fullmatch(r"\s*(?:from|to|[\d.]+%)(?:\s*,\s*(?:from|to|[\d.]+%))*\s*", part, re.I):
                 return begin, "invalid keyframe"
             if not part.strip() or not all(_css_selector.match(" ".join(x.split())) for x in _commas(part)):
                 return begin, "invalid selector" if part.strip() else "a selector expected"
             stack.append(("both", at))
         elif sign == ";":
+            if holds == "custom":
+                continue
             if a := _css_at.match(part):
                 if a.group(1).lower() not in AT_STATEMENTS or not _brackets(a.group(2)):
                     return begin, f"invalid '@{a.group(1)}'"
@@ -1484,7 +1493,7 @@ def style_error(text: str) -> tuple[int, str] | None:
         else:
             if not stack:
                 return at, "'}' without a block"
-            if part.strip() and (holds in ("rules", "frames") or not _declaration(part)):
+            if holds != "custom" and part.strip() and (holds in ("rules", "frames") or not _declaration(part)):
                 return begin, "invalid declaration"
             stack.pop()
     if stack:
