@@ -22,6 +22,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ FILTER = 1 << 20
 _drop = regex.compile(r"[^\p{L}\p{N}]+").sub
 _digit = regex.compile(r"\p{N}").sub
 #: Scripts written without spaces count by character.
-_word = regex.compile(r"\p{N}+(?:[.,   ]?\p{N}+)*|[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]|[\p{L}\p{M}]+").findall
+_words = regex.compile(r"\p{N}+(?:[.,   ]?\p{N}+)*|[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]|[\p{L}\p{M}]+").findall
 #: Unit words of measures and money.
 UNITS = frozenset("percent cent prozent pour ciento km kilometres kilometers kilometer kilómetros kilomètres crowns kronen couronnes coronas euro euros votes stimmen voix votos".split())
 NUMBER, NAME, UNIT = 1, 2, 3
@@ -50,30 +51,16 @@ def reduced(text: str) -> str:
     return _drop("", unicodedata.normalize("NFKD", text.lower()))
 
 
-def word_template(text: str) -> tuple[list[str], np.ndarray]:
-    """The words of a text, and the kind of placeholder that each becomes (0 for none)."""
-    words = _word(text)
-    kind = np.zeros(len(words), np.int8)
-    for i, w in enumerate(words):
-        if w[0].isdigit() or w[0].isnumeric() and not w[0].isalpha():
-            kind[i] = NUMBER
-        elif w.casefold() in UNITS:
-            kind[i] = UNIT
-        elif len(w) > 1 and w[0].isupper():
-            kind[i] = NAME
-    return words, kind
-
-
-def _word_values(words: list[str], kind: np.ndarray) -> np.ndarray:
-    own = np.array([hash_word(w) for w in words], np.uint64)
-    return np.where(kind > 0, kind.astype(np.uint64), own)
-
-
-@lru_cache(maxsize=100_000)
-def hash_word(word: str) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(unicodedata.normalize("NFKD", word.casefold()).encode("utf-8", "surrogatepass"))
+@lru_cache(maxsize=200_000)
+def _word(word: str) -> tuple[int, int]:
+    """A word's kind of placeholder (0 for none) and what stands for it in a window: the kind, or the word's hash."""
+    if word[0].isdigit() or word[0].isnumeric() and not word[0].isalpha():
+        return NUMBER, NUMBER
+    if word.casefold() in UNITS:
+        return UNIT, UNIT
+    if len(word) > 1 and word[0].isupper():
+        return NAME, NAME
+    return 0, xxhash.xxh3_64_intdigest(unicodedata.normalize("NFKD", word.casefold()).encode("utf-8", "surrogatepass"))
 
 
 def _letter_windows(text: str, run: int) -> np.ndarray:
@@ -84,16 +71,20 @@ def _letter_windows(text: str, run: int) -> np.ndarray:
     return np.unique(grams[at])
 
 
-def _word_windows(text: str) -> tuple[np.ndarray, list[list[str]]]:
-    """Hashes of the indexed word windows, with the slot values of each; windows of few literals left out."""
-    words, kind = word_template(text)
+def _word_windows(text: str, bits: np.ndarray | None = None) -> tuple[np.ndarray, list[list[str]]]:
+    """Hashes of the indexed word windows that pass the filter, with the slot values of each; few literals are not enough."""
+    words = _words(text)
     if len(words) < WORDS:
         return np.empty(0, np.uint64), []
-    values = _word_values(words, kind)
+    known = [_word(w) for w in words]
+    kind = np.array([k for k, _ in known], np.int8)
+    values = np.array([v for _, v in known], np.uint64)
     grams = mixed(Slices(mixed(values)).grams(WORDS) + np.uint64(7))
     literal = np.convolve(kind == 0, np.ones(WORDS, int), "valid")
     at = window_minima(grams >> np.uint64(32), min(WORD_RUN - WORDS + 1, len(grams)))
     at = at[(literal[at] >= LITERAL) & (literal[at] < WORDS)]
+    if bits is not None:
+        at = at[bits[(grams[at] & np.uint64(FILTER - 1)).astype(np.int64)]]
     slots = [[unicodedata.normalize("NFKD", words[j].casefold()) for j in range(a, a + WORDS) if kind[j]] for a in at.tolist()]
     return grams[at], slots
 
@@ -133,12 +124,10 @@ def _word_slots(texts: DataFrame, only: np.ndarray | None = None) -> DataFrame:
         for batch in batches:
             ids, keys, values = [], [], []
             for ident, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                key, slots = _word_windows(text.as_py())
-                for k, s in zip(key.tolist(), slots):
-                    if bits is None or bits.value[k & (FILTER - 1)]:
-                        ids.append(ident)
-                        keys.append(k)
-                        values.append(s)
+                key, slots = _word_windows(text.as_py(), None if bits is None else bits.value)
+                ids += [ident] * len(key)
+                keys += key.tolist()
+                values += slots
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(keys, np.uint64).view(np.int64), pa.int64()), pa.array(values, pa.list_(pa.string()))], names=["id", "key", "slots"])
 
     return texts.mapInArrow(go, "id bigint, key bigint, slots array<string>")
