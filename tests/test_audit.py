@@ -1,13 +1,14 @@
 import json
 import subprocess
 
-import pytest
 from tests.conftest import ORDER_TOTAL, inventory
-
 from twinsift.config import Config, Structure
+from twinsift.operators.ted import similarity
 from twinsift.operators.detectors import CssDetector, DeadCodeDetector, StructureDetector, TokensDetector
 from twinsift.plans.audit import run_audit
+from twinsift.sources.css import read_rules
 from twinsift.sources.project import Manifest
+from twinsift.sources.script import read_units
 
 RENAMED = ORDER_TOTAL.replace("items", "rows").replace("total", "sum").replace("0;", "7;").replace("orderTotal", "orderTotal")
 MODIFIED = ORDER_TOTAL.replace("  let total = 0;\n", "  let total = 0;\n  if (items.length === 0) return 0;\n")
@@ -28,46 +29,43 @@ RULE = "a {\n  color: red;\n  margin: 0;\n  padding: 1px;\n}\n"
 
 
 def kinds(result):
-    return sorted((r["kind"], round(r["similarity"], 3) if r["similarity"] == 1 else r["similarity"]) for r in result.clusters.collect())
+    return sorted((r["kind"], r["similarity"]) for r in result.clusters.collect())
 
 
 def structure(spark, second, config=Config()):
     return StructureDetector(config).run(inventory(spark, {"a.js": ORDER_TOTAL, "b.js": second}))
 
 
-def test_identical_despite_comments_and_spacing(spark):
-    assert kinds(structure(spark, ORDER_TOTAL.replace("  let", "  // a note\n    let"))) == [("identical", 1.0)]
-
-
-def test_renamed_locals_and_literals_are_normalized(spark):
-    assert kinds(structure(spark, RENAMED)) == [("normalized", 1.0)]
-
-
-def test_added_guard_is_near_miss(spark):
-    ((kind, similarity),) = kinds(structure(spark, MODIFIED))
-    assert kind == "near-miss" and 0.85 <= similarity < 1
-
+def pair_kind(first, second):
+    """What the detector would call two functions, from their keys and trees."""
+    (a,), (b,) = read_units(first), read_units(second)
+    if a.normalized == b.normalized:
+        return "identical" if a.raw == b.raw else "normalized"
+    return "near-miss" if similarity((a.labels, a.leftmost), (b.labels, b.leftmost), 0.85) >= 0.85 else None
 
-def test_unrelated_functions_make_no_cluster(spark):
-    assert kinds(structure(spark, UNRELATED)) == []
 
-
-def test_member_names_and_operators_matter(spark):
-    assert [k for k, _ in kinds(structure(spark, ORDER_TOTAL.replace("item.price * item", "item.cost * item")))] == ["near-miss"]
-    assert [k for k, _ in kinds(structure(spark, ORDER_TOTAL.replace("total + tax", "total - tax")))] == ["near-miss"]
+def test_kinds_of_function_pairs():
+    assert pair_kind(ORDER_TOTAL, ORDER_TOTAL.replace("  let", "  // a note\n    let")) == "identical"
+    assert pair_kind(ORDER_TOTAL, RENAMED) == "normalized"
+    assert pair_kind(ORDER_TOTAL, MODIFIED) == "near-miss"
+    assert pair_kind(ORDER_TOTAL, UNRELATED) is None
+    assert pair_kind(ORDER_TOTAL, ORDER_TOTAL.replace("item.price * item", "item.cost * item")) == "near-miss"
+    assert pair_kind(ORDER_TOTAL, ORDER_TOTAL.replace("total + tax", "total - tax")) == "near-miss"
+    recursive = ORDER_TOTAL.replace("return Math", "if (gross > 9) return orderTotal([], taxRate);\n  return Math")
+    assert pair_kind(recursive, recursive.replace("orderTotal", "sumUp")) == "normalized"
 
 
-def test_arrow_forms_are_one_cluster(spark):
-    body = ORDER_TOTAL[ORDER_TOTAL.index("(") :].replace(") {", ") => {", 1)
-    files = {"a.ts": f"const f = {body}", "b.ts": f"const o = {{ f: {body.rstrip()} }};", "c.ts": f"class C {{ f = {body.rstrip()}; }}"}
-    result = StructureDetector(Config()).run(inventory(spark, files))
-    assert kinds(result) == [("identical", 1.0)] and result.members.count() == 3
+def test_forms_and_names_of_functions():
+    body = ORDER_TOTAL[ORDER_TOTAL.index("(") :].replace(") {", ") => {", 1).rstrip()
+    forms = [f"const f = {body};", f"const o = {{ f: {body} }};", f"class C {{ f = {body}; }}"]
+    assert [pair_kind(forms[0], f) for f in forms[1:]] == ["identical", "identical"]
+    method = ORDER_TOTAL.replace("function orderTotal", "  total")
+    assert [u.name for u in read_units(f"class Cart {{\n{method}\n{method.replace('total(', 'constructor(')}}}\n")] == ["Cart.total", "constructor"]
 
 
-def test_recursive_function_is_normalized(spark):
-    recursive = ORDER_TOTAL.replace("return Math", "if (gross > 9) return orderTotal([], taxRate);\n  return Math")
-    result = StructureDetector(Config()).run(inventory(spark, {"a.js": recursive, "b.js": recursive.replace("orderTotal", "sumUp")}))
-    assert kinds(result) == [("normalized", 1.0)]
+def test_edited_copy_is_a_near_miss_cluster(spark):
+    ((kind, weakest),) = kinds(structure(spark, MODIFIED))
+    assert kind == "near-miss" and 0.85 <= weakest < 1
 
 
 def test_broken_file_is_a_failure_and_not_analyzed(spark):
@@ -83,18 +81,15 @@ def test_oversized_functions_match_exactly_only(spark):
     assert kinds(result) == [("identical", 1.0)] and "20 nodes" in result.notes[0]
 
 
-@pytest.mark.parametrize(
-    ("second", "expected"),
-    [
-        (RULE.replace("a {", "b {"), ["identical"]),
-        (RULE.replace("color: red;\n  margin: 0;", "MARGIN:   0;\n  color: RED;"), ["normalized"]),
-        (RULE.replace("red", "url(A.png)"), []),
-        (f"@media (min-width: 1px) {{\n{RULE}}}\n", []),
-    ],
-)
-def test_css_kinds(spark, second, expected):
-    result = CssDetector(Config()).run(inventory(spark, {"a.css": RULE, "b.css": second}))
-    assert [r["kind"] for r in result.clusters.collect()] == expected
+def test_css_keys():
+    keys = lambda text: [(r["normalized_key"], r["raw_key"]) for r in read_rules(text)]
+    ((normal, raw),) = keys(RULE)
+    assert keys(RULE.replace("a {", "b {")) == [(normal, raw)]
+    ((other, spelled),) = keys(RULE.replace("color: red;\n  margin: 0;", "MARGIN:   0;\n  color: RED;"))
+    assert other == normal and spelled != raw
+    assert keys(RULE.replace("red", "url(A)")) != keys(RULE.replace("red", "url(a)"))
+    assert keys(f"@media (min-width: 1px) {{\n{RULE}}}\n")[0][0] != normal
+    assert keys("a {\n  color: red;\n  top: 0;\n}\n") == []
 
 
 def test_css_near_miss_and_lines(spark):
@@ -114,39 +109,28 @@ def dead(spark, files, entry=("index.ts",), **kwargs):
     return sorted((r["kind"], r["path"], r["name"]) for r in result.findings.collect()), result
 
 
-def test_dead_files_are_found_transitively(spark):
-    files = {"index.ts": "import { live } from './live';\nlive();\n", "live.ts": "export function live() {}\n", "dead.ts": "import { helper } from './helper.js';\nhelper();\n", "helper.ts": "export function helper() {}\n"}
-    assert dead(spark, files)[0] == [("dead-file", "dead.ts", None), ("dead-file", "helper.ts", None)]
-
-
-def test_files_that_only_use_each_other_are_dead(spark):
-    files = {"index.ts": "export {};\n", "a.ts": "import './b';\n", "b.ts": "import './a';\n"}
-    assert [x[1] for x in dead(spark, files)[0]] == ["a.ts", "b.ts"]
+def test_dead_files_and_exports(spark):
+    files = {
+        "index.ts": "import { live } from './live';\nimport { used } from './lib';\nimport './main.css';\nimport * as x from './a';\nexport * from './b';\nimport c = require('./c');\ntype T = import('./d').T;\nlive(); used(); x; c;\n",
+        "live.ts": "export function live() {}\n",
+        "dead.ts": "import { helper } from './helper.js';\nhelper();\n",
+        "helper.ts": "export function helper() {}\n",
+        "m.ts": "import './n';\n",
+        "n.ts": "import './m';\n",
+        "main.css": "@import 'used.css';\n/* @import 'commented.css'; */\n",
+        "used.css": "a{}\n",
+        "commented.css": "a{}\n",
+        "lib.ts": "export function used() {}\nexport function unused() {}\nexport const inner = 1;\nconsole.log(inner);\n",
+        **{f"{k}.ts": f"export const {k}1 = 1;\nexport type T = 1;\n" for k in "abcd"},
+    }
+    found, _ = dead(spark, files)
+    assert [x[1] for x in found if x[0] == "dead-file"] == ["commented.css", "dead.ts", "helper.ts", "m.ts", "n.ts"]
+    assert [x for x in found if x[0] != "dead-file"] == [("dead-export", "lib.ts", "unused")]
 
 
-def test_style_imports_make_chains(spark):
-    files = {"index.ts": "import './main.css';\n", "main.css": "@import 'used.css';\n/* @import 'commented.css'; */\n", "used.css": "a{}\n", "commented.css": "a{}\n"}
-    assert [x[1] for x in dead(spark, files)[0]] == ["commented.css"]
-
-
-def test_dead_exports_and_uses(spark):
-    files = {"index.ts": "import { used } from './lib';\nused();\n", "lib.ts": "export function used() {}\nexport function unused() {}\nexport const inner = 1;\nconsole.log(inner);\n"}
-    assert dead(spark, files)[0] == [("dead-export", "lib.ts", "unused")]
-
-
-def test_whole_imports_use_every_export(spark):
-    files = {"index.ts": "import * as x from './a';\nexport * from './b';\nimport c = require('./c');\ntype T = import('./d').T;\nx; c;\n", **{f"{k}.ts": f"export const {k}1 = 1;\nexport type T = 1;\n" for k in "abcd"}}
-    assert dead(spark, files)[0] == []
-
-
-def test_computed_references_make_findings_uncertain(spark):
-    files = {"index.ts": "const name = pick();\nrequire('./plugins/' + name);\nconst known = 'special-plugin';\n", "special-plugin.ts": "export {};\n"}
-    assert dead(spark, files)[0] == [("uncertain-file", "special-plugin.ts", None)]
-
-
-def test_templates_are_searched_always(spark):
-    files = {"index.ts": "export {};\n", "widget-box.ts": "export {};\n", "page.html": "<script src='widget-box.js'></script>\n"}
-    assert ("uncertain-file", "widget-box.ts", None) in dead(spark, files)[0]
+def test_mentions_make_findings_uncertain(spark):
+    files = {"index.ts": "const name = pick();\nrequire('./plugins/' + name);\nconst known = 'special-plugin';\n", "special-plugin.ts": "export {};\n", "widget-box.ts": "export {};\n", "page.html": "<script src='widget-box.js'></script>\n"}
+    assert dead(spark, files)[0] == [("uncertain-file", "special-plugin.ts", None), ("uncertain-file", "widget-box.ts", None)]
 
 
 def test_without_entries_nothing_is_analyzed(spark):
@@ -154,15 +138,10 @@ def test_without_entries_nothing_is_analyzed(spark):
     assert found == [] and result.analyzed.count() == 0 and len(result.notes) == 1
 
 
-def test_manifest_entries_map_output_to_source(spark):
-    files = {"src/app/start.ts": "import '../lib';\n", "src/lib.ts": "export {};\n", "src/orphan.ts": "export {};\n"}
+def test_manifest_entries_and_tests_are_roots(spark):
+    files = {"src/app/start.ts": "import '../lib';\n", "src/lib.ts": "export {};\n", "src/orphan.ts": "export {};\n", "src/util.ts": "export const helper = 1;\n", "src/util.test.ts": "import { helper } from './util';\nhelper;\n"}
     found, _ = dead(spark, files, entry=(), manifest=Manifest(entries=("./dist/app/start.js",)))
-    assert [x[1] for x in found] == ["src/orphan.ts"]
-
-
-def test_tests_count_as_entries(spark):
-    files = {"index.ts": "export {};\n", "util.ts": "export const helper = 1;\n", "util.test.ts": "import { helper } from './util';\nhelper;\n"}
-    assert dead(spark, files)[0] == []
+    assert found == [("dead-file", "src/orphan.ts", None)]
 
 
 def test_token_runs(spark):

@@ -60,7 +60,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     ends = scratch.cut(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "ends")
     stars = scratch.cut(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
     before = None
-    while True:
+    while not stars.isEmpty():
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
