@@ -310,6 +310,38 @@ def test_token_runs_match_brute_force(spark):
     assert set().union(*linked) == {"1.js", "3.js", "5.js"} and all(r["tokens"] >= 60 for r in got)
 
 
+def longest_common(a, b):
+    best, row = 0, [0] * (len(b) + 1)
+    for x in a:
+        row = [0] + [row[j] + 1 if x == y else 0 for j, y in enumerate(b)]
+        best = max(best, max(row))
+    return best
+
+
+def test_no_token_run_is_lost_in_a_crowd(spark):
+    draw = random.Random(11)
+    text = lambda n: [draw.choice("abcdefgh") + str(draw.randrange(500)) for _ in range(n)]
+    core, wide = text(50), text(64)
+    bodies = [[*text(20), *core, *text(20)] for _ in range(12)] + [[*text(15), *wide, *text(15)] for _ in range(6)]
+    for middle in (core, wide):  # two pairs of files, each with more in common around what all share
+        for _ in range(2):
+            left, right = text(12), text(13)
+            bodies += [[*text(9), *left, *middle, *right, *text(9)] for _ in range(2)]
+    draw.shuffle(bodies)
+    bodies += bodies[:3]
+    files = {f"{i:02d}.js": " \n".join(b) for i, b in enumerate(bodies)}
+    files["flat.js"] = " ".join(wide)  # on one line, so in no run, and not to stand between others
+    got = tokens.match_tokens(inventory(spark, files), 60, 5).collect()
+    assert all("flat.js" not in (r["path_a"], r["path_b"]) for r in got)
+    want = {(a, b): n for a, b in combinations(range(len(bodies)), 2) if (n := longest_common(bodies[a], bodies[b])) >= 60}
+    assert len({n for n in want.values()}) >= 4
+    for (a, b), n in want.items():  # linked through files that share as much
+        reached = {f"{a:02d}.js"}
+        while more := {p for r in got if r["tokens"] >= n for p in (r["path_a"], r["path_b"]) if {r["path_a"], r["path_b"]} & reached} - reached:
+            reached |= more
+        assert f"{b:02d}.js" in reached
+
+
 def test_mutants_and_recall(spark):
     files = inventory(spark, {"a.js": ORDER_TOTAL})
     config = Config()
