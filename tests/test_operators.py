@@ -100,6 +100,20 @@ def test_posting_cut(spark):
     assert similarity.candidate_pairs(sets, 0.1, 3).count() == 3
 
 
+def test_whole_candidate_pairs_keep_what_many_hold(spark, tmp_path):
+    from twinsift.plans.queries import QUERIES
+
+    rows = [(i, [1, 2, 3, 4], 10) for i in range(70)] + [(100, [1, 2, 3, 5], 10), (101, [1, 2, 3, 4], 5), (102, None, 5), (103, [9], None)]
+    made = spark.createDataFrame(rows, "unit_id bigint, features array<int>, size int")
+    texts = [F.lit("x").alias(c) for c in ("file_id", "repo", "path", "name", "normalized", "raw")]
+    made.select("*", *texts, F.lit(1).alias("start_line"), F.lit(2).alias("end_line")).write.parquet(str(tmp_path / "units.parquet"))
+    got = {(r["a"], r["b"], r["overlap"]) for r in QUERIES["whole_candidate_pairs"](spark, str(tmp_path)).collect()}
+    assert got == {(0, 100, 3), (0, 101, 4), (100, 101, 3)}
+    assert [tuple(r) for r in QUERIES["whole_comparable_pairs"](spark, str(tmp_path)).collect()] == [(0, 100, 1.0)]
+    heads = {r["unit_id"]: r["head"] for r in QUERIES["candidate_groups"](spark, str(tmp_path)).collect()}
+    assert heads == {**{i: 0 for i in range(70)}, 100: 100, 101: 101, 103: 103}
+
+
 def test_uncut_pairs_match_brute_force(spark):
     draw = random.Random(9)
     sets = [sorted(draw.sample(range(14), draw.randint(1, 9))) for _ in range(80)]

@@ -158,6 +158,41 @@ def comparable_pairs(spark, folder):
     return pairs.where(F.greatest("sa", "sb") > 0).select("a", "b", bound.alias("bound")).where("bound >= 0.85")
 
 
+#: Units of equal features and size are one group, so a copy held by many is compared once; no feature is cut.
+_WHOLE = f"""
+WITH {_UNITS}, g AS (SELECT unit_id, size, features, min(unit_id) OVER (PARTITION BY features, size) AS head FROM u WHERE len(features) > 0),
+e AS (SELECT unit_id, size, len(features) AS n, unnest(features) AS f FROM g WHERE unit_id = head),
+c AS (SELECT x.unit_id AS a, y.unit_id AS b, count(*) AS overlap, count(*) / (any_value(x.n + y.n) - count(*)) AS jaccard, any_value(x.size) AS sa, any_value(y.size) AS sb FROM e x JOIN e y ON x.f = y.f AND x.unit_id < y.unit_id GROUP BY 1, 2)
+"""
+
+
+def _groups(spark: SparkSession, folder: str) -> DataFrame:
+    own = units(spark, folder).where(F.size("features") > 0)
+    return own.select("unit_id", "size", "features", F.min("unit_id").over(Window.partitionBy("features", "size")).alias("head"))
+
+
+@query(_WHOLE + "SELECT unit_id, head FROM g")
+def candidate_groups(spark, folder):
+    """The group each unit is compared in, by its first unit: two units of one group are alike in features and size."""
+    return _groups(spark, folder).select("unit_id", "head")
+
+
+@query(_WHOLE + "SELECT a, b, overlap, jaccard FROM c WHERE jaccard >= 0.4")
+def whole_candidate_pairs(spark, folder):
+    """``candidate_pairs`` without its cut: groups by their first units, over all features, through the prefix filter."""
+    return similarity.candidate_pairs(_groups(spark, folder).where("unit_id = head"), 0.4, None, "unit_id")
+
+
+@query(_WHOLE + "SELECT a, b, least(sa, sb) / greatest(sa, sb) AS bound FROM c WHERE jaccard >= 0.4 AND greatest(sa, sb) > 0 AND least(sa, sb) / greatest(sa, sb) >= 0.85")
+def whole_comparable_pairs(spark, folder):
+    heads = _groups(spark, folder).where("unit_id = head")
+    pairs = similarity.candidate_pairs(heads, 0.4, None, "unit_id")
+    for side in "ab":
+        pairs = pairs.join(heads.select(F.col("unit_id").alias(side), F.col("size").alias(f"s{side}")), side)
+    bound = scalar.size_ratio(F.col("sa"), F.col("sb"))
+    return pairs.where(F.greatest("sa", "sb") > 0).select("a", "b", bound.alias("bound")).where("bound >= 0.85")
+
+
 def _clusters(frame: DataFrame, key: str, kind_only: bool = False) -> tuple[DataFrame, DataFrame]:
     ready = frame.where("normalized IS NOT NULL").select(F.col(key).alias("ord"), "normalized", "raw", F.coalesce("features", F.expr("cast(array() as array<int>)")).alias("features"))
     return similarity.cluster_units(ready, 0.85, 0.85)
