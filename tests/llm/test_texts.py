@@ -111,6 +111,19 @@ def test_kinds_of_files(spark):
     assert handwritten.classify(table.limit(0)).count() == 0
 
 
+def test_banners_far_from_the_start():
+    licence = "/*\n" + " * This text belongs to the shop.\n" * 200 + " */\n"
+    generated = lambda t, k=0: handwritten.top_marks(t, k, handwritten.GENERATED_BANNER)
+    library = lambda t: handwritten.top_marks(t, 0, handwritten.LIBRARY_BANNER) or handwritten.top_marks(t, 0, handwritten.VERSION_BANNER, True)
+    assert generated(licence + "// Code generated by x. DO NOT EDIT.\n" + HAND) and generated(HAND + licence + "/* @generated */\n" + HAND)
+    assert library(licence + "/** @license MIT */\n" + HAND) and library(HAND * 9 + "/*! brightlib v3.2.1 */\n" + HAND)
+    for first in ("#!/usr/bin/env node\n", "\ufeff", "'use strict';\n"):
+        assert library(first + "/* brightlib v3.2.1 */\n" + HAND) and handwritten.MODULE_WRAPPER.match(first + "(function (root, factory) {")
+    assert generated('{"//": "Code generated by x. DO NOT EDIT.", "a": 1}', 2)
+    assert not generated('const head = "Code generated by x. DO NOT EDIT.";\n') and not library(HAND + "// node 12.1 can do this\n" + HAND)
+    assert not generated("function f() {\n  // Code generated by x. DO NOT EDIT.\n}\n")
+
+
 def test_names_of_several_texts():
     found = handwritten.Names(["let ab = cd + ab; 12x", ".a-b { c: d }\n#e:hover {}", '{"k1": {"k-2": "v"}}', "é"], [0, 1, 2, 0])
     words = found.words()

@@ -159,15 +159,60 @@ def naming_style(name: str) -> str:
 
 #: The banners that generators write at the head of a file.
 GENERATED_BANNER = re.compile(
-    r"Code generated by .{1,80}DO NOT EDIT|<auto-generated|machine-written on \d{4}-|This file was automatically (?:produced|generated)|Automatisch erzeugt|Fichier (?:produit|généré) par|AUTOGENERATED by|^\s*(?:/?\*+|//)?\s*@generated\b|Output of `[^`\n]+`\. To change it",
+    r"Code generated by .{1,80}DO NOT EDIT|<auto-generated|machine-written on \d{4}-|This file was automatically (?:produced|generated)|Automatisch erzeugt|Fichier (?:produit|généré) par|AUTOGENERATED by|^[^\S\n]*(?:/?\*+|//)?[^\S\n]*@generated\b|Output of `[^`\n]+`\. To change it",
     re.M,
 )
-#: A library's banner with its version or licence, and the wrappers of published modules.
-LIBRARY_BANNER = re.compile(
-    r"\A\s*(?:/\*+!?|//)\s*(?:\*\s*)?[\w.-]+ (?:- version |v)?\d+\.\d+(?:\.\d+)?\b|^\s*(?:/?\*+!?|//)?\s*@license\b|\| \(c\) the [\w-]+ contributors \||Copyright \(c\) [\d-]+ [\w-]+ project\. Licensed under",
-    re.M,
-)
-MODULE_WRAPPER = re.compile(r"\A(?:\s++|/\*(?:[^*]|\*(?!/))*+\*/|//[^\n]*+)*+;?\(function \((?:root, factory|global, factory|)\) ?\{", re.S)
+#: A library's banner with its licence or, where a file or module begins, its version.
+LIBRARY_BANNER = re.compile(r"^[^\S\n]*(?:/?\*+!?|//)?[^\S\n]*@license\b|\| \(c\) the [\w-]+ contributors \||Copyright \(c\) [\d-]+ [\w-]+ project\. Licensed under", re.M)
+VERSION_BANNER = re.compile(r"(?:/\*+!?\s*(?:\*\s*)?|//[^\S\n]*)[\w.-]+ (?:- version |v)?\d+\.\d+(?:\.\d+)?\b")
+#: What may stand before the first statement of a file: a byte order mark, a line for the shell, comments, directives.
+_before = r"\A\ufeff?(?:#![^\n]*+)?(?:\s++|/\*(?:[^*]|\*(?!/))*+\*/|//[^\n]*+|(?:\"use \w++\"|'use \w++')(?:;|(?=\s)))*+"
+_head = re.compile(_before)
+#: The wrappers of published modules.
+_wrapper = r";?\(function \((?:root, factory|global, factory|)\) ?\{"
+MODULE_WRAPPER = re.compile(_before + _wrapper)
+_wraps = re.compile(r"\s*" + _wrapper)
+_strings = r"|\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|`(?:[^`\\]|\\.)*+`|[{}]"
+_pieces = [re.compile(x, re.S) for x in (r"//[^\n]*+|/\*.*?(?:\*/|\Z)" + _strings, r"/\*.*?(?:\*/|\Z)" + _strings, r"//[^\n]*+|/\*.*?(?:\*/|\Z)" + _strings)]
+_opens_module = re.compile(r"(?:function\s*\([^(){}]*\)|=>)\s*\Z")
+
+
+def top_marks(text: str, kind: int, banner: re.Pattern, version: bool = False) -> bool:
+    """Whether a banner stands in a comment of the file's or a module's top level, wherever in the text.
+
+    A module is the whole file or the body of an unnamed function. In JSON a value of the outermost object will do, and
+    in a damaged file a banner in front of all code. A ``version`` must begin the file, a ``/*!`` comment or a comment
+    before a module's wrapper.
+    """
+    spots = [m.start() if version else m.end() - 1 for m in banner.finditer(text)]
+    if not spots:
+        return False
+    head = _head.match(text).end()
+    outer: list[bool] = []
+    code, at = head, 0
+    for m in _pieces[kind].finditer(text):
+        piece, start, end = m.group(), m.start(), m.end()
+        while at < len(spots) and spots[at] < start:
+            if not version and not outer and not re.search(r"[;{}=(]", text[head : spots[at]]):
+                return True
+            at += 1
+        if at == len(spots):
+            return False
+        comment = piece.startswith(("/*", "//"))
+        while at < len(spots) and spots[at] < end:
+            if comment and all(outer) and (not version or start < head or piece.startswith("/*!") or _wraps.match(text, end)):
+                return True
+            if not comment and not version and kind == 2 and len(outer) <= 1:
+                return True
+            at += 1
+        if piece == "{":
+            outer.append(bool(_opens_module.search(text, max(code, text.rfind("\n", 0, start)), start)))
+        elif piece == "}" and outer:
+            outer.pop()
+        code = end
+    return not version and not outer and any(not re.search(r"[;{}=(]", text[head:x]) for x in spots[at : at + 1])
+
+
 #: Folders that hold other people's code.
 THIRD_PARTY = re.compile(r"(?:^|/)(?:node_modules|bower_components|vendor|third_party|third-party|deps|externals|libs)/")
 _base64 = re.compile(r"[A-Za-z0-9+/]{160,}")
@@ -254,8 +299,8 @@ def _scores(source_files: DataFrame, rules: bool) -> DataFrame:
                 own = [ids[r] for r in rows]
                 if rules:
                     marks = [
-                        [bool(GENERATED_BANNER.search(t, 0, 4000)) for t in texts],
-                        [bool(LIBRARY_BANNER.search(t, 0, 1000)) for t in texts],
+                        [top_marks(t, k, GENERATED_BANNER) for t, k in zip(texts, kinds)],
+                        [top_marks(t, k, LIBRARY_BANNER) or top_marks(t, k, VERSION_BANNER, True) for t, k in zip(texts, kinds)],
                         [bool(MODULE_WRAPPER.match(t)) for t in texts],
                         [bool(THIRD_PARTY.search(paths[r])) for r in rows],
                         [data_like(t, k) for t, k in zip(texts, kinds)],
@@ -303,7 +348,7 @@ def classify(source_files: DataFrame) -> DataFrame:
     """``(file_id, kind)``: generated, minified, vendored or data; files written by hand have no row.
 
     Defined cases: null ids, paths without a known extension, null and blank texts have no row; a file delivered twice
-    has one row; a damaged file counts if its marks are still there; a licence text naming the file's own project is no
+    has one row; a damaged file counts if its marks are still there; banners count wherever a file or module begins; a licence text naming the file's own project is no
     mark; ``ext`` and ``lines`` are not trusted and not read; an empty table gives no rows.
     """
     scored = _scores(source_files, rules=True)
