@@ -124,6 +124,21 @@ def test_banners_far_from_the_start():
     assert not generated("function f() {\n  // Code generated by x. DO NOT EDIT.\n}\n")
 
 
+def test_counters_are_kept_by_template():
+    assert handwritten.counter_run("".join(f"const FIELD_{i} = load();\n" for i in range(17, 22))) == 5
+    assert handwritten.counter_run("".join(f"get{w}{i}() {{}}\n" for i, w in enumerate(["Cursor", "TableRow", "Quota", "BarnLeaseTray"]))) == 4
+    assert handwritten.counter_run("x = 0; a1 = pad(2); wait3(4, b); 5; // 0 1 2 3 4 5 6\nleft: 9, top: 3") <= 2
+    assert handwritten.counter_run("id: 3, n: 7\nid: 4, n: 7\nid: 9\nid: 10") == 2
+
+
+def test_a_counter_is_weighed_by_the_names(spark):
+    few = "".join(f"export const ROUTE_{i} = open();\n" for i in range(11, 16))
+    long = "".join(f"export function {a}{b}Order() {{ return {b}{a}(); }}\n" for a in "abcdefghij" for b in "klmnop") + few.replace("export const", "let")
+    rows = [(1, "shop", "src/few.ts", few), (2, "shop", "src/long.ts", long), (3, "shop", "src/text.ts", HAND + "// 0 1 2 3 4 5 6 7\n")]
+    table = spark.createDataFrame(rows, "file_id bigint, repo string, path string, text string")
+    assert {r["file_id"]: r["kind"] for r in handwritten.classify(table).collect()} == {1: "generated"}
+
+
 def test_names_of_several_texts():
     found = handwritten.Names(["let ab = cd + ab; 12x", ".a-b { c: d }\n#e:hover {}", '{"k1": {"k-2": "v"}}', "é"], [0, 1, 2, 0])
     words = found.words()

@@ -1,8 +1,8 @@
 """Problem 4: generated, minified or vendored source files.
 
 ``name_model`` is the learned part: for each language a character trigram model of identifiers, counted over all files.
-A file whose identifiers cost many bits a character under its language's model has mangled names; one whose names are
-few templates with a running number was written by a tool; one whose naming style is rare in its repository is foreign.
+A file whose identifiers cost many bits a character under its language's model has mangled names; one whose names count
+up within one template was written by a tool; one whose naming style is rare in its repository is foreign.
 
 ``classify`` adds what names cannot show: banners of generators, library banners and module wrappers, third-party
 folders, and the shape of data kept as code. A vendored copy may share its names with the project that took it, so the
@@ -30,13 +30,13 @@ MANGLED_BITS = 3.6
 DENSE = 0.1
 #: Names needed for a judgement on them.
 LEAST_NAMES = 8
-#: Length of the chain 0, 1, 2 ... of numbers in names and ids from which a file is a filled-in template.
-COUNTER = 6
+#: Consecutive numbers within one name template, and their share of a file's names, from which it is a filled-in template.
+STEPS, STEP_SHARE = 4, 0.1
 #: A naming style held by less than this share of a repository's names is foreign to it.
 FOREIGN_SHARE = 0.02
 
 _name = {1: re.compile(r"[.#]([A-Za-z_][\w-]*)(?=[^;{}]*\{)", re.A), 2: re.compile(r'"([A-Za-z_$][\w$-]*)"\s*:', re.A)}
-_number = re.compile(r"(?<![\d.])\d{1,6}(?![\d.]*\d)")
+_counted = re.compile(r"([A-Za-z_$][\w$-]*+)(?:\s*+[:=(\[]\s*+(\d{1,6})(?![\w.]))?", re.A)
 _code = np.full(128, 65, np.int64)
 for _i in range(26):
     _code[97 + _i], _code[65 + _i] = 1 + _i, 27 + _i
@@ -137,13 +137,27 @@ def name_model(source_files: DataFrame) -> np.ndarray:
 
 
 def counter_run(text: str) -> int:
-    """How far the numbers of a text count up from 0 in order: the mark of a filled-in template."""
-    next_ = 0
-    for found in _number.findall(text):
-        if found[0] != "0" or found == "0":
-            if int(found) == next_:
-                next_ += 1
-    return next_
+    """The most consecutive numbers, from any start, in the names of one template or as the values of one name.
+
+    A template is the shape of a name's stem and of what follows its last number; a repeated number is one step, any
+    other one starts anew.
+    """
+    steps: dict[tuple[str, str], tuple[int, int]] = {}
+    best = 0
+
+    def count(key: tuple[str, str], number: int) -> None:
+        nonlocal best
+        before, run = steps.get(key, (-1, 0))
+        run = run if number == before and run else run + 1 if number == before + 1 and run else 1
+        steps[key] = number, run
+        best = max(best, run)
+
+    for name, value in _counted.findall(text):
+        if value:
+            count((name, ":"), int(value))
+        if not name.isalpha() and (found := [*_digits.finditer(name)]) and len(found[-1].group()) <= 6:
+            count((_stem(name[: found[-1].start()]), _template(name[found[-1].end() :])), int(found[-1].group()))
+    return best
 
 
 def naming_style(name: str) -> str:
@@ -242,12 +256,18 @@ def packed(text: str) -> bool:
 
 
 _small, _large, _digits = re.compile("[a-z]+"), re.compile("[A-Z]+"), re.compile("[0-9]+")
+_words = re.compile(r"(Aa|A_|a_|a-)\1+")
 
 
 def _template(name: str) -> str:
     return _digits.sub("0", _small.sub("a", _large.sub("A", name)))
 
 
+def _stem(name: str) -> str:
+    """The template of a name of one or of several words."""
+    return _words.sub(r"\1", _template(name))
+
+
 def _style_shares(source_files: DataFrame) -> DataFrame:
     """``(repo, kind, style, share)``: how common each naming style is in each repository, over all its names."""
 
@@ -322,17 +342,21 @@ def _scores(source_files: DataFrame, rules: bool) -> DataFrame:
     return _files(source_files).select("file_id", "repo", "path", "text").mapInArrow(run, schema)
 
 
+def _counts_up():
+    return (F.col("counter") >= STEPS) & (F.col("counter") >= STEP_SHARE * F.col("names"))
+
+
 def _by_names():
     enough = F.col("names") >= LEAST_NAMES
     mangled = enough & (F.col("bits") >= MANGLED_BITS)
-    template = F.col("counter") >= COUNTER
+    template = _counts_up()
     return F.when(mangled, "mangled").when(template, "template")
 
 
 def named_verdicts(source_files: DataFrame) -> DataFrame:
     """``(file_id, names, bits, diversity, style, share, verdict)``: the learned method over the whole table.
 
-    ``verdict`` is mangled (costly names), template (few templates with a running number), foreign (a naming style rare
+    ``verdict`` is mangled (costly names), template (names that count up within one template), foreign (a naming style rare
     in its repository) or null. Files of other kinds than scripts, style sheets and JSON, null and blank texts have no
     row; a file delivered twice has one row.
     """
@@ -355,7 +379,7 @@ def classify(source_files: DataFrame) -> DataFrame:
     kind = (
         F.when(~F.col("data") & (F.col("packed") | (F.col("kind") != 2) & (F.col("blank") <= DENSE) & (F.col("names") >= LEAST_NAMES) & (F.col("bits") >= MANGLED_BITS)), "minified")
         .when(F.col("data"), "data")
-        .when(F.col("banner") | (F.col("counter") >= COUNTER), "generated")
+        .when(F.col("banner") | _counts_up(), "generated")
         .when(F.col("library") | F.col("wrapper") | F.col("folder"), "vendored")
     )
     return scored.select("file_id", kind.alias("kind")).where(F.col("kind").isNotNull()).distinct()
