@@ -197,3 +197,14 @@ def test_templates_find_new_values(spark):
     rows = {r["doc_id"]: r for r in leakage.template_hits(d, t).collect()}
     assert rows[1]["consistent"] and rows[1]["changed"] >= 1
     assert not rows[2]["consistent"]
+
+
+def test_every_stretch_with_a_fit_window_has_one_indexed():
+    draw = random.Random(4)
+    for _ in range(40):
+        words = [draw.choice(["Harlow", "19", "the", "bridge", "closed", "winter", "council"]) + ("" if draw.random() < 0.5 else draw.choice("abcdef")) for _ in range(40)]
+        kinds = [leakage._word(w)[0] for w in leakage._words(" ".join(words))]
+        words = leakage._words(" ".join(words))
+        for i in range(len(words) - leakage.WORD_RUN + 1):
+            fit = any(leakage.LITERAL <= kinds[j : j + leakage.WORDS].count(0) < leakage.WORDS for j in range(i, i + leakage.WORD_RUN - leakage.WORDS + 1))
+            assert (len(leakage._word_windows(" ".join(words[i : i + leakage.WORD_RUN]))[0]) > 0) == fit

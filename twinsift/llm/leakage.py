@@ -81,8 +81,9 @@ def _word_windows(text: str, bits: np.ndarray | None = None) -> tuple[np.ndarray
     values = np.array([v for _, v in known], np.uint64)
     grams = mixed(Slices(mixed(values)).grams(WORDS) + np.uint64(7))
     literal = np.convolve(kind == 0, np.ones(WORDS, int), "valid")
-    at = window_minima(grams >> np.uint64(32), min(WORD_RUN - WORDS + 1, len(grams)))
-    at = at[(literal[at] >= LITERAL) & (literal[at] < WORDS)]
+    fit = (literal >= LITERAL) & (literal < WORDS)
+    at = window_minima(np.where(fit, grams >> np.uint64(32), np.uint64(0xFFFFFFFF)), min(WORD_RUN - WORDS + 1, len(grams)))
+    at = at[fit[at]]
     if bits is not None:
         at = at[bits[(grams[at] & np.uint64(FILTER - 1)).astype(np.int64)]]
     slots = [[unicodedata.normalize("NFKD", words[j].casefold()) for j in range(a, a + WORDS) if kind[j]] for a in at.tolist()]
