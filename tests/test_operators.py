@@ -356,6 +356,18 @@ def test_no_token_run_is_lost_in_a_crowd(spark):
         assert f"{b:02d}.js" in reached
 
 
+def test_every_customer_is_an_entry(spark, tmp_path):
+    from twinsift.plans.queries import QUERIES
+
+    made = {"customer": [(1, "BUILDING"), (2, "OTHER")], "orders": [(10, 1), (20, 2), (30, 9)], "lineitem": [(10, 100, 5), (20, 200, 5), (30, 300, 6)], "part": [(100,), (200,), (300,), (400,)]}
+    columns = {"customer": "c_custkey bigint, c_mktsegment string", "orders": "o_orderkey bigint, o_custkey bigint", "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint", "part": "p_partkey bigint"}
+    for name, rows in made.items():
+        spark.createDataFrame(rows, columns[name]).write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = lambda name: {r["id"] for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    assert got("whole_reachable") == {"c1", "c2", "o10", "o20", "p100", "p200", "s5"}
+    assert got("whole_dead_nodes") == {"p300", "p400"}
+
+
 def test_mutants_and_recall(spark):
     files = inventory(spark, {"a.js": ORDER_TOTAL})
     config = Config()

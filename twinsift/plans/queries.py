@@ -417,6 +417,28 @@ def dead_nodes(spark, folder):
     return reach.dead_nodes(parts, reach.reachable(*_graph(spark, folder)))
 
 
+#: Every customer is an entry.
+_WHOLE_GRAPH = _GRAPH.replace(" WHERE c_mktsegment = 'BUILDING' AND c_custkey % 7 = 0", "")
+
+
+def _whole_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    arcs, _ = _graph(spark, folder)
+    return arcs, table(spark, folder, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"))
+
+
+@query(f"WITH RECURSIVE {_WHOLE_GRAPH} SELECT id FROM live")
+def whole_reachable(spark, folder):
+    """``reachable`` from every customer."""
+    return reach.reachable(*_whole_graph(spark, folder))
+
+
+@query(f"WITH RECURSIVE {_WHOLE_GRAPH} SELECT 'p' || p_partkey AS id FROM part WHERE 'p' || p_partkey NOT IN (SELECT id FROM live)")
+def whole_dead_nodes(spark, folder):
+    """Parts that no customer's order reaches."""
+    parts = table(spark, folder, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"))
+    return reach.dead_nodes(parts, reach.reachable(*_whole_graph(spark, folder)))
+
+
 _IMPORTS = f"""{_FILES}, imp AS (SELECT repo, path AS src, unnest(regexp_extract_all(text, '(?:from|import|require\\()\\s*[''"](\\.[^''"]+)[''"]', 1)) AS specifier FROM f WHERE text IS NOT NULL)"""
 
 
