@@ -70,6 +70,10 @@ def test_invalid_texts(path, text):
     assert syntax.syntax_error(path, text)
 
 
+def test_a_field_ends_before_a_long_comment():
+    assert syntax.syntax_error("a.ts", "class A {\n  x = 1\n  /* " + "c" * 300 + " */ y\n  z\n" + " " * 300 + "w = 2\n}\n") is None
+
+
 def test_checks_are_linear_in_awkward_texts():
     import time
 

@@ -1130,7 +1130,7 @@ class Script:
                     kind, t, i, end = self.next(last)
                 if t == "=":
                     state, before, i = OPERAND, "=", end
-                elif t in (";", "}") or _LINE(text, max(0, i - 200), i) and self.broken(i):
+                elif t in (";", "}") or self.broken(i):
                     state = MEMBER
                 else:
                     raise where(kind, t, i)
