@@ -192,3 +192,24 @@ def test_sentences_cover_every_text(spark):
         assert "".join(text[a:b] for a, b in zip([0, *ends], [*ends, len(text)])) == text
     long = "The house agreed. " * 20_000
     assert len(sentences.sentence_ends(long)) == 20_000
+
+
+@pytest.mark.parametrize("units", range(1, 8))
+def test_interruptions_follow_the_sentence_around_them(units):
+    """Inside a sentence any number of them is part of it; between sentences each is one of its own."""
+    inside = "We agree so " + "(Applause) " * units + "that the bill stands. Next one."
+    assert sentences.sentence_ends(inside) == [len(inside) - 10, len(inside)]
+    between = "We agree so. " + "(Applause) " * units + "The bill stands."
+    assert len(sentences.sentence_ends(between)) == units + 2
+
+
+def test_sentences_take_time_in_proportion():
+    import time
+
+    for piece in ("we go on with it. then ", "hum ho... ", "(x) ", "“a b. "):
+        took = []
+        for n in (2_000, 8_000):
+            began = time.perf_counter()
+            sentences.sentence_ends(piece * n)
+            took.append(time.perf_counter() - began)
+        assert took[1] < 8 * took[0] + 0.5

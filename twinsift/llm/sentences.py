@@ -4,15 +4,18 @@ A text is cut at blank lines. Within a block every place that could end a senten
 its closing quotes, before and after a bracketed unit, and at white space in Thai. The programme then chooses whole
 spans, not single cuts: a span scores by the word that closes it, the word that opens the next one, its length, and
 whether its quotation marks and brackets balance, so that a quotation stays with the words that introduce it and an
-interruption is a sentence only where the sentence around it has ended. The best total wins. Spans that bridge a certain
-cut are not tried, which keeps the programme linear in the text.
+interruption is a sentence only where the sentence around it has ended. The best total wins. Among the starts of a span
+only those that lead their kind are kept (the same marks open, or any; near, or far), so the programme is linear in the text.
 """
 
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,7 +49,7 @@ _break = re.compile(rf"{_EOL}[^\S\r\n  ]*{_EOL}\s*")
 _OPEN = {"(": ")", "[": "]", "（": "）", "〔": "〕", "【": "】", "{": "}"}
 _bracket = re.compile(r"[()\[\]（）〔〕【】{}]")
 _stop = re.compile(r"(?:[.!?…。！？．؟۔।॥]+)(?:[\"'”’」』》]|“(?=\s|\Z|[,;])|[\s  ]?[»])*")
-_last_word = re.compile(r"[^\s\"“”„«»(\[（]*\Z")
+_word_breaks = re.compile(r"[\s\"“”„«»(\[（]").split
 _next_word = re.compile(r"[\s​﻿­]*([\"'“„«「『¿¡‘\s]*)(?:([^\W\d_]+(?:['’](?=\w))?)|(\d)|(\S))?")
 _label = re.compile(r"\s*[^:：\n.!?]{0,30}(?:\.[^:：\n.!?]{0,30}){0,4}(?:\([^()\n]{1,40}\)\s*)?[:：]\s*\Z")
 _thai = re.compile(r"[฀-๿]")
@@ -56,14 +59,17 @@ _strong = frozenset("!?。！？．؟۔।॥")
 _cjk = re.compile(r"[぀-ヿ㐀-鿿＀-￯]")
 _marks = re.compile(r"[\"“”„«»「」『』《》]")
 
+_begins = re.compile(r"[.!?]\s+([^\W\d_])")
+_joined = re.compile(r"[.!?](?<=[^\W\d_]{3}[.!?])[\"”»)\]]?[^\W\d_]{3}")
+_spaced = re.compile(r"[.!?](?<=[^\W\d_]{3}[.!?])[\"”»)\]]?\s")
+_thai_word = re.compile(r"\w|[ะ-๎]")
+
 _content = re.compile(r"[^\s.!?…。！？]").search
 
 #: Scores: a cut in the middle of a quotation or bracket, a unit that is only an interruption, a cut behind one that is not.
 UNBALANCED, ALONE, BEHIND = -7.0, 15.0, -8.0
-#: A span over a cut of at least this score loses to the two spans that meet there, where one of them balances.
-CERTAIN = 3.5
-#: So many units in a row are sentences of their own.
-UNITS = 4
+#: Scores of a span of one character, and of one longer than LONG.
+TINY, OVERLONG, LONG = -3.0, -1.0, 600
 #: Characters before a terminator in which its word is looked for; no abbreviation is longer.
 WORD = 48
 
@@ -90,19 +96,35 @@ def _units(block: str) -> list[tuple[int, int]]:
     return out
 
 
+@lru_cache(maxsize=1)
+def _cases() -> np.ndarray:
+    """For each code point of the first two planes: 1 a small letter, 2 a capital, 0 neither."""
+    return np.fromiter((c.isalpha() * (c.islower() + 2 * c.isupper()) for c in map(chr, range(0x20000))), np.uint8, 0x20000)
+
+
+def _letter_cases(text: str) -> tuple[int, int]:
+    """How many small and how many capital letters a text has."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    small, big = np.bincount(_cases()[points[points < 0x20000]], minlength=3)[1:3].tolist()
+    for c in map(chr, points[points >= 0x20000].tolist()):
+        small, big = small + (c.isalpha() and c.islower()), big + (c.isalpha() and c.isupper())
+    return small, big
+
+
 class Style:
     """How a text is written, as far as the choice depends on it: whether capitals tell where sentences begin."""
 
     def __init__(self, text: str):
-        sample = [m.group(1) for m in re.finditer(r"[.!?]\s+([^\W\d_])", text)]
+        sample = [m.group(1) for m in _begins.finditer(text)]
         upper = sum(c.isupper() for c in sample)
         lower = sum(c.islower() for c in sample)
-        letters = [c for c in text if c.isalpha()]
-        small = sum(c.islower() for c in letters)
-        big = sum(c.isupper() for c in letters)
-        # texts whose sentences follow one another without a space
-        joined = len(re.findall(r"[^\W\d_]{3}[.!?][\"”»)\]]?[^\W\d_]{3}", text))
-        self.tight = joined >= 2 and joined * 2 > len(re.findall(r"[^\W\d_]{3}[.!?][\"”»)\]]?\s", text))
+        small, big = _letter_cases(text)
+        # texts whose sentences follow one another without a space; no letter counts for two of them
+        joined, end = 0, 0
+        for m in _joined.finditer(text):
+            if m.start() - 3 >= end:
+                joined, end = joined + 1, m.end()
+        self.tight = joined >= 2 and joined * 2 > len(_spaced.findall(text))
         self.shouting = big > 0.6 * (small + big) and big > 20
         self.cased = not self.shouting and big > 0 and (upper >= lower * 0.6 or upper + lower < 3)
         if not self.shouting and small > 60 and big * 200 < small:
@@ -159,7 +181,7 @@ def _cut_score(block: str, begin: int, mark: int, end: int, after: int, style: S
             return 2.0 if closed else -9.0
         if not style.tight and not closed and not (open_ == 5.0 or open_ == 3.0 and not block[end].isupper() and ord(block[end]) > 0x590):
             return -9.0
-    before = _last_word.search(block, max(begin, mark - WORD), mark).group().strip("​­﻿‍‌")
+    before = _word_breaks(block[max(begin, mark - WORD) : mark])[-1].strip("​­﻿‍‌")
     low = before.casefold().replace("’", "'")
     at_end = after >= len(block)
     if closed:
@@ -197,8 +219,7 @@ def block_ends(block: str, style: Style) -> list[int]:
     block = block[:n]
     start = n - len(block.lstrip())
     units = _units(block)
-    letters = len(_letter.findall(block))
-    thai = letters and len(_thai.findall(block)) > 0.4 * len(re.findall(r"\w|[ะ-๎]", block))
+    thai = len(_thai.findall(block)) > 0.4 * len(_thai_word.findall(block)) if _thai.search(block) and _letter.search(block) else False
     if thai and _heading.fullmatch(block) and len(block) < 60:
         return [n]
     candidates: dict[int, float] = {}
@@ -206,6 +227,7 @@ def block_ends(block: str, style: Style) -> list[int]:
     for a, b in units:
         inside[a + 1 : b] = b"\x01" * (b - a - 1)
     unit_at = {a: b for a, b in units}
+    unit_ends = {b for _, b in units}
 
     def beyond(i: int) -> int:
         """Past white space and bracketed units."""
@@ -273,39 +295,74 @@ def block_ends(block: str, style: Style) -> list[int]:
             i += 1
         begins.append(i)
 
-    def span(i: int, j: int) -> float:
-        a, b = begins[i], cuts[j]
-        total = score[j]
-        if state[i] != state[j]:
-            total += UNBALANCED
-        if unit_at.get(a) == b:
-            total += ALONE
-        elif i == 0 and b not in (n,) and units and units[0][1] == b and _label.match(block[: units[0][0]]) and ":" in block[: units[0][0]].replace("：", ":"):
-            total += ALONE
-        if b - a <= 1:
-            total -= 3.0
-        elif b - a > 600:
-            total -= 1.0
-        return total
-
-    best, back = [float("-inf")] * len(cuts), [0] * len(cuts)
-    best[0] = 0.0
-    chain = [0] * len(cuts)  # units standing one behind the other, up to each cut
-    for j in range(1, len(cuts)):
+    # a unit's end closes a sentence only if the unit stands alone, behind a sentence that has ended
+    loose = {b for b in unit_ends if b in candidates and candidates[b] <= BEHIND}
+    labelled = units[0][1] if units and _label.match(block[: units[0][0]]) and ":" in block[: units[0][0]].replace("：", ":") else -1
+    return [cuts[j] for j in _best_spans(cuts, begins, score, state, unit_at, loose, labelled)]
+
+
+class _Front:
+    """The best start among those at most ``LONG`` characters back, and the best among all further back: O(1) a step."""
+
+    def __init__(self):
+        self.near: deque[tuple[float, int]] = deque()
+        self.far = (float("-inf"), -1)
+
+    def add(self, value: float, i: int) -> None:
+        while self.near and self.near[-1][0] <= value:
+            self.near.pop()
+        self.near.append((value, i))
+
+    def best(self, first: int) -> tuple[float, int]:
+        """The best start for a span, where starts before ``first`` are far: a span from there is a long one."""
+        while self.near and self.near[0][1] < first:
+            self.far = max(self.far, self.near.popleft())
+        away = self.far[0] + OVERLONG, self.far[1]
+        return max(self.near[0], away) if self.near else away
+
+
+def _best_spans(cuts: list[int], begins: list[int], score: list[float], state: list[tuple[int, ...]], unit_at: dict[int, int], loose: set[int], labelled: int) -> list[int]:
+    """Indices of the cuts that end the spans of the best total.
+
+    ``total[j]`` is the best total up to cut ``j``; ``closed[j]`` the best that leaves a sentence closed there, which a
+    ``loose`` cut does only behind a unit on its own. A span costs more across an unbalanced mark or beyond ``LONG``
+    characters, so the best start is one of a few fronts, kept for each state of the marks and for all; the start right
+    before is looked at by itself, as only it can be too short or a unit. The programme is linear in the cuts.
+    """
+    m = len(cuts)
+    low = float("-inf")
+    total, closed = [low] * m, [low] * m
+    back, back_closed = [(0, False)] * m, [(0, False)] * m
+    total[0] = closed[0] = 0.0
+    every, alike = _Front(), {}
+    first = 0
+    for j in range(1, m):
+        if j >= 2:
+            every.add(total[j - 2], j - 2)
+            alike.setdefault(state[j - 2], _Front()).add(total[j - 2], j - 2)
+        while first < j - 1 and cuts[j] - begins[first] > LONG:
+            first += 1
+        i, reach = j - 1, cuts[j] - begins[j - 1]
+        best = total[i] + (UNBALANCED if state[i] != state[j] else 0.0) + (TINY if reach <= 1 else OVERLONG if reach > LONG else 0.0)
+        for value, k in (alike[state[j]].best(first) if state[j] in alike else (low, -1), (every.best(first)[0] + UNBALANCED, every.best(first)[1]) if j >= 2 else (low, -1)):
+            if value > best + 1e-9:
+                best, i = value, k
+        total[j], back[j] = best + score[j], (i, False)
+        if cuts[j] not in loose:
+            closed[j], back_closed[j] = total[j], back[j]
+        bonus = low
         if unit_at.get(begins[j - 1]) == cuts[j]:
-            chain[j] = chain[j - 1] + 1
-    sure = [x >= CERTAIN or k >= UNITS for x, k in zip(score, chain)]
-    for j in range(1, len(cuts)):
-        for i in range(j - 1, -1, -1):
-            s = best[i] + span(i, j)
-            if s > best[j] + 1e-9:
-                best[j], back[j] = s, i
-            if sure[i] and state[i] == state[j]:
-                break  # a longer span would bridge this cut, and gain nothing by it
-    ends, j = [], len(cuts) - 1
+            bonus, i = closed[j - 1] + ALONE + score[j] + (UNBALANCED if state[j - 1] != state[j] else 0.0), j - 1
+        elif cuts[j] == labelled and j < m - 1:
+            bonus, i = ALONE + score[j] + (UNBALANCED if state[0] != state[j] else 0.0) + (OVERLONG if cuts[j] - begins[0] > LONG else 0.0), 0
+        if bonus > closed[j]:
+            closed[j], back_closed[j] = bonus, (i, True)
+        if bonus > total[j] + 1e-9:
+            total[j], back[j] = bonus, (i, True)
+    ends, j, settled = [], m - 1, False
     while j > 0:
-        ends.append(cuts[j])
-        j = back[j]
+        ends.append(j)
+        j, settled = back_closed[j] if settled else back[j]
     return ends[::-1]
 
 
