@@ -6,7 +6,7 @@ from itertools import combinations
 
 import pytest
 
-from twinsift.llm import components, leakage, neardup, rolling, setjoin, spans
+from twinsift.llm import components, leakage, neardup, rolling, setjoin, spans, templates
 
 RULES = "rule_id bigint, features array<int>, sid string, tokens int"
 
@@ -188,23 +188,87 @@ def test_leaks_match_brute_force(spark):
     assert leakage.leaks(d.limit(0), t).count() == 0
 
 
-def test_templates_find_new_values(spark):
-    item = "In 1999 the Harlow council paid 250 crowns for every single bridge that the engineers had closed before the winter"
-    doc = item.replace("1999", "2004").replace("Harlow", "Marlow").replace("250", "75")
-    mixed = doc + " and again. " + item.replace("Harlow", "Barlow").replace("1999", "1950")
-    d = spark.createDataFrame([(1, doc), (2, mixed), (3, None)], "doc_id bigint, text string")
-    t = spark.createDataFrame([(7, item)], "item_id bigint, text string")
-    rows = {r["doc_id"]: r for r in leakage.template_hits(d, t).collect()}
-    assert rows[1]["consistent"] and rows[1]["changed"] >= 1
-    assert not rows[2]["consistent"]
-
+LANGUAGES = {
+    "en": ("In {n} the {a} council paid {m} crowns to the {b} board for every single bridge that the engineers had closed before the winter", "Harlow Marlow Stanwick Perrin"),
+    "de": ("Im Jahr {n} zahlte der Rat von {a} genau {m} kronen an den Ausschuss von {b} für jede einzelne Brücke die vor dem Winter gesperrt wurde", "Harlstedt Marlau Stannwik Perrin"),
+    "fr": ("En {n} le conseil de {a} versa {m} couronnes au comité de {b} pour chaque pont que les ingénieurs avaient fermé avant cet hiver", "Harlieu Marlène Stanvic Perrin"),
+    "es": ("En {n} el consejo de {a} pagó {m} coronas al comité de {b} por cada puente que los ingenieros habían cerrado antes del invierno", "Harlena Marlosa Estanvic Perrina"),
+    "hi": ("वर्ष {n} में {a} परिषद ने {b} समिति को {m} मुद्राएँ हर उस पुल के लिए दीं जिसे अभियंताओं ने सर्दी से पहले बंद किया था", "हारलोपुर मारलगढ़ स्तानवाल पेरिनाबाद"),
+    "ar": ("في عام {n} دفع مجلس {a} إلى لجنة {b} مبلغ {m} من النقود عن كل جسر أغلقه المهندسون قبل الشتاء في كل مدينة", "هارلوبور مارلغار ستانوال بيريناد"),
+    "ja": ("{n}年に{a}議会は{b}委員会へ{m}円を支払い、技師たちが冬の前に閉鎖したすべての橋について報告書を提出すると約束しました", "ハルロブル マルロガル スタンヴァル ペリナドル"),
+    "zh": ("在{n}年{a}议会向{b}委员会支付了{m}元用于工程师们在冬季之前关闭的每一座桥梁并且承诺提交一份详细的报告给全体议员们", "哈尔罗普 玛勒加尔 斯坦瓦尔 佩里纳德"),
+    "th": ("ในปี {n} สภา {a} จ่ายเงินให้คณะกรรมการ {b} จำนวน {m} สำหรับสะพานทุกแห่งที่วิศวกรปิดก่อนฤดูหนาวและสัญญาว่าจะส่งรายงาน", "ฮาร์โลว์ มาร์กัล สแตนวัล เปรินาด"),
+}
+
+
+def template_corpus():
+    """In each language an item, documents of the same words in another order, and one that has the item with new values."""
+    draw, docs, items = random.Random(8), [], []
+    for k, (pattern, names) in enumerate(LANGUAGES.values()):
+        a, b, c, d = names.split()
+        items.append((k, pattern.format(n=1999, m=250, a=a, b=b)))
+        docs.append((1000 + k, pattern.format(n=2004, m=75, a=c, b=d)))
+        spaced = " " in pattern
+        parts = [x for x in pattern.replace("{", " {").replace("}", "} ").split() if "{" not in x] if spaced else [x for x in pattern.replace("{n}", "|").replace("{m}", "|").replace("{a}", "|").replace("{b}", "|").replace("、", "|").split("|") if x]
+        for i in range(60):
+            draw.shuffle(parts)
+            docs.append((2000 + 100 * k + i, (" " if spaced else "").join(parts)))
+    return docs, items
+
+
+def test_templates_find_new_values_in_nine_languages(spark):
+    docs, items = template_corpus()
+    docs += [(90, None), (91, ""), (None, items[0][1]), (92, items[0][1]), docs[0]]
+    items += [(30, None), (31, ""), (32, "short"), (None, items[0][1])]
+    d = spark.createDataFrame([(*x, "k") for x in docs], "doc_id bigint, text string, tokens string")
+    t = spark.createDataFrame([(*x, 1) for x in items * 2], "item_id bigint, text string, key int")
+    rows = {(r["doc_id"], r["item_id"]): r for r in templates.template_leaks(d, t).collect()}
+    assert {(1000 + k, k) for k in range(len(LANGUAGES))} <= set(rows)
+    assert all(rows[1000 + k, k]["changed"] >= 2 for k in range(len(LANGUAGES)))
+    assert rows[92, 0]["changed"] == 0
+    assert {p for p in rows if p[0] < 2000} - {(1000 + k, k) for k in range(len(LANGUAGES))} == {(92, 0)}
+    assert templates.template_leaks(d.limit(0), t).count() == 0 and templates.template_leaks(d, t.limit(0)).count() == 0
+
+
+def test_runs_of_templates_match_brute_force():
+    draw = random.Random(4)
+    import numpy as np
+
+    def sequence(n):
+        code = [draw.choice([1, 2, 9, 10, 11, 12]) for _ in range(n)]
+        return np.array(code, np.uint64), [draw.choice("xyz") if c < 3 else str(c) for c in code], np.full(n, templates.WORD)
+
+    def brute(doc, item, run):
+        best = 0
+        for x in range(len(doc[0])):
+            for y in range(len(item[0])):
+                told, k, literal = {}, 0, 0
+                while x + k < len(doc[0]) and y + k < len(item[0]) and doc[0][x + k] == item[0][y + k]:
+                    code = int(item[0][y + k])
+                    if code < 3 and told.setdefault((code, item[1][y + k]), doc[1][x + k]) != doc[1][x + k]:
+                        break
+                    literal += code > 3
+                    k += 1
+                    if k >= run and 2 * literal >= run:
+                        best = max(best, k)
+        return best
+
+    for _ in range(150):
+        doc, item = sequence(40), sequence(30)
+        at, to = draw.randrange(20), draw.randrange(10)
+        for i in range(draw.randrange(4, 18)):
+            doc[0][at + i], doc[1][at + i] = item[0][to + i], item[1][to + i].replace("x", "w")
+        found = templates.agreement(doc, item, 5)
+        assert (found[0] if found else 0) == brute(doc, item, 5)
+
+
+def test_every_run_with_a_fit_window_has_one_indexed():
+    import numpy as np
 
-def test_every_stretch_with_a_fit_window_has_one_indexed():
     draw = random.Random(4)
-    for _ in range(40):
-        words = [draw.choice(["Harlow", "19", "the", "bridge", "closed", "winter", "council"]) + ("" if draw.random() < 0.5 else draw.choice("abcdef")) for _ in range(40)]
-        kinds = [leakage._word(w)[0] for w in leakage._words(" ".join(words))]
-        words = leakage._words(" ".join(words))
-        for i in range(len(words) - leakage.WORD_RUN + 1):
-            fit = any(leakage.LITERAL <= kinds[j : j + leakage.WORDS].count(0) < leakage.WORDS for j in range(i, i + leakage.WORD_RUN - leakage.WORDS + 1))
-            assert (len(leakage._word_windows(" ".join(words[i : i + leakage.WORD_RUN]))[0]) > 0) == fit
+    for _ in range(60):
+        codes = np.array([draw.choice([1, 2, 3, 50, 60, 70]) for _ in range(templates.RUN)], np.uint64)
+        fit = any((codes[i : i + templates.WORDS] > 3).sum() >= templates.LITERAL for i in range(templates.RUN - templates.WORDS + 1))
+        assert (len(templates.windows(codes)) > 0) == fit
+        around = np.concatenate([codes[:3], codes, codes[5:9]])
+        assert set(templates.windows(codes)) <= set(templates.windows(around)) | set(templates.windows(codes)) and set(templates.windows(codes)) & set(templates.windows(around)) or not fit

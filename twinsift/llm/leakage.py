@@ -1,16 +1,11 @@
-"""Problem 8: evaluation texts leaking into training text, by template canonicalisation.
-
-Both texts become templates in which numbers, names and units are typed placeholders, and windows of the templates are
-joined by hash. Two forms are indexed side by side:
-
-* the *letter* form is the reduced text (letters and digits only) with every digit a number placeholder. It keeps
-  lengths, so a common run of ``RUN`` reduced characters always holds ``RUN`` common template characters, and one
-  of its windows is sure to meet. This form finds verbatim leaks, whatever happened to case, spacing or accents.
-* the *word* form replaces whole numbers, capitalised names and units. It finds items that were given new values;
-  the slots of a met window are compared, and the values must map to one another consistently.
-
-Of the windows of a text only those are indexed whose hash is the minimum of a neighbourhood, a choice that both sides
-make alike. A fixed-size filter of the items' windows keeps the corpus's other windows out of the shuffle.
+"""Problem 8: evaluation texts leaking into training text.
+
+``leaks`` follows the plain rule: a common run of ``RUN`` reduced characters may begin and end inside a word and be
+shorter than any template, so templates of words cannot find them all; ``templates`` runs the method over the whole
+table. Both texts are reduced to letters and digits, every digit becomes a number placeholder, and windows are joined
+by hash: a common run holds ``RUN`` common characters of this form, and one of its windows is sure to meet. Of the
+windows of a text only those are indexed whose hash is the minimum of a neighbourhood, a choice that both sides make
+alike. A fixed-size filter of the items' windows keeps the corpus's other windows out of the shuffle.
 """
 
 from __future__ import annotations
@@ -22,28 +17,18 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinsift.llm.rolling import Slices, code_points, mixed, window_minima
+from twinsift.llm.rolling import Slices, code_points, window_minima
 from twinsift.session import Scratch
 
 RUN = 60
 GRAM = 30
-#: The word form: words of a window, and the run of words within which one window is sure to be indexed.
-WORDS, WORD_RUN = 8, 10
-#: Words of a window that must not be placeholders.
-LITERAL = 5
 FILTER = 1 << 20
 
 _drop = regex.compile(r"[^\p{L}\p{N}]+").sub
 _digit = regex.compile(r"\p{N}").sub
-#: Scripts written without spaces count by character.
-_words = regex.compile(r"\p{N}+(?:[.,   ]?\p{N}+)*|[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]|[\p{L}\p{M}]+").findall
-#: Unit words of measures and money.
-UNITS = frozenset("percent cent prozent pour ciento km kilometres kilometers kilometer kilómetros kilomètres crowns kronen couronnes coronas euro euros votes stimmen voix votos".split())
-NUMBER, NAME, UNIT = 1, 2, 3
 
 
 def reduced(text: str) -> str:
@@ -51,18 +36,6 @@ def reduced(text: str) -> str:
     return _drop("", unicodedata.normalize("NFKD", text.lower()))
 
 
-@lru_cache(maxsize=200_000)
-def _word(word: str) -> tuple[int, int]:
-    """A word's kind of placeholder (0 for none) and what stands for it in a window: the kind, or the word's hash."""
-    if word[0].isdigit() or word[0].isnumeric() and not word[0].isalpha():
-        return NUMBER, NUMBER
-    if word.casefold() in UNITS:
-        return UNIT, UNIT
-    if len(word) > 1 and word[0].isupper():
-        return NAME, NAME
-    return 0, xxhash.xxh3_64_intdigest(unicodedata.normalize("NFKD", word.casefold()).encode("utf-8", "surrogatepass"))
-
-
 def _letter_windows(text: str, run: int) -> np.ndarray:
     template = code_points(_digit("0", reduced(text)))
     gram = min(GRAM, run)
@@ -71,26 +44,7 @@ def _letter_windows(text: str, run: int) -> np.ndarray:
     return np.unique(grams[at])
 
 
-def _word_windows(text: str, bits: np.ndarray | None = None) -> tuple[np.ndarray, list[list[str]]]:
-    """Hashes of the indexed word windows that pass the filter, with the slot values of each; few literals are not enough."""
-    words = _words(text)
-    if len(words) < WORDS:
-        return np.empty(0, np.uint64), []
-    known = [_word(w) for w in words]
-    kind = np.array([k for k, _ in known], np.int8)
-    values = np.array([v for _, v in known], np.uint64)
-    grams = mixed(Slices(mixed(values)).grams(WORDS) + np.uint64(7))
-    literal = np.convolve(kind == 0, np.ones(WORDS, int), "valid")
-    fit = (literal >= LITERAL) & (literal < WORDS)
-    at = window_minima(np.where(fit, grams >> np.uint64(32), np.uint64(0xFFFFFFFF)), min(WORD_RUN - WORDS + 1, len(grams)))
-    at = at[fit[at]]
-    if bits is not None:
-        at = at[bits[(grams[at] & np.uint64(FILTER - 1)).astype(np.int64)]]
-    slots = [[unicodedata.normalize("NFKD", words[j].casefold()) for j in range(a, a + WORDS) if kind[j]] for a in at.tolist()]
-    return grams[at], slots
-
-
-def _bitmap(keys: DataFrame) -> np.ndarray:
+def bitmap(keys: DataFrame) -> np.ndarray:
     """A filter of fixed size over 64-bit keys."""
     bits = np.zeros(FILTER, bool)
     for row in keys.select(F.col("key").bitwiseAND(F.lit(FILTER - 1)).alias("b")).distinct().collect():
@@ -117,23 +71,6 @@ def _letters(texts: DataFrame, run: int, only: np.ndarray | None = None) -> Data
     return texts.mapInArrow(go, "id bigint, key bigint")
 
 
-def _word_slots(texts: DataFrame, only: np.ndarray | None = None) -> DataFrame:
-    """``(id, key, slots)``: the indexed word windows of ``texts(id, text)``."""
-    bits = None if only is None else texts.sparkSession.sparkContext.broadcast(only)
-
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, keys, values = [], [], []
-            for ident, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                key, slots = _word_windows(text.as_py(), None if bits is None else bits.value)
-                ids += [ident] * len(key)
-                keys += key.tolist()
-                values += slots
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(keys, np.uint64).view(np.int64), pa.int64()), pa.array(values, pa.list_(pa.string()))], names=["id", "key", "slots"])
-
-    return texts.mapInArrow(go, "id bigint, key bigint, slots array<string>")
-
-
 @lru_cache(maxsize=256)
 def _run_hashes(text: str, run: int) -> tuple[str, np.ndarray, np.ndarray]:
     short = reduced(text)
@@ -160,42 +97,22 @@ def _holds(run: int):
     return go
 
 
-def _texts(table: DataFrame, key: str, text: str) -> DataFrame:
+def texts_of(table: DataFrame, key: str, text: str) -> DataFrame:
     return table.where(F.col(key).isNotNull() & (F.length(text) > 0)).select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
 
 
-def template_hits(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """``(doc_id, item_id, windows, changed, consistent)``: items met in word form, with new values or the same ones.
-
-    ``changed`` counts slots whose value differs; ``consistent`` says that over all met windows no value of the item
-    became two different values. A document's windows that meet an item's are counted once each.
-    """
-    docs, tests = _texts(documents, "doc_id", "text"), _texts(items, "item_id", "text")
-    own = Scratch(documents.sparkSession, "templates").cut(_word_slots(tests), "items")
-    met = _word_slots(docs, _bitmap(own)).join(own.select(F.col("id").alias("item_id"), "key", F.col("slots").alias("was")), "key")
-    pairs = met.select(F.col("id").alias("doc_id"), "item_id", "key", F.explode(F.arrays_zip("was", "slots")).alias("z")).select("doc_id", "item_id", "key", "z.was", F.col("z.slots").alias("now")).distinct()
-    per_slot = pairs.groupBy("doc_id", "item_id", "was").agg(F.count_distinct("now").alias("values"), F.max((F.col("was") != F.col("now")).cast("int")).alias("moved"))
-    slots = per_slot.groupBy("doc_id", "item_id").agg(F.sum("moved").alias("changed"), (F.max("values") == 1).alias("consistent"))
-    windows = met.groupBy(F.col("id").alias("doc_id"), "item_id").agg(F.count_distinct("key").alias("windows"))
-    return windows.join(slots, ["doc_id", "item_id"])
-
-
 def leaks(documents: DataFrame, items: DataFrame, run: int = RUN) -> DataFrame:
     """``(doc_id, item_id)``: documents and items whose reduced texts share at least ``run`` characters in a row.
 
-    Candidates come from windows of both template forms; each is then checked exactly. Defined cases: null ids, null
+    Candidates come from the windows that meet; each is then checked exactly. Defined cases: null ids, null
     and empty texts take no part; items with equal text all count; repeated rows count once; an item whose reduced
     text is shorter than a run cannot leak; whole texts are searched; extra columns are ignored.
     """
-    docs, tests = _texts(documents, "doc_id", "text"), _texts(items, "item_id", "text")
+    docs, tests = texts_of(documents, "doc_id", "text"), texts_of(items, "item_id", "text")
     scratch = Scratch(documents.sparkSession, "leaks")
     letters = scratch.cut(_letters(tests, run), "item-letters")
-    words = scratch.cut(_word_slots(tests), "item-words")
-    met = _letters(docs, run, _bitmap(letters)).join(letters.select(F.col("id").alias("item_id"), "key"), "key")
-    # a window met in word form is a verbatim leak only if all its slots kept their values
-    same = words.select(F.col("id").alias("item_id"), "key", "slots")
-    again = _word_slots(docs, _bitmap(words)).join(same, ["key", "slots"])
-    found = scratch.cut(met.select("id", "item_id").unionByName(again.select("id", "item_id")).distinct(), "candidates")
+    met = _letters(docs, run, bitmap(letters)).join(letters.select(F.col("id").alias("item_id"), "key"), "key")
+    found = scratch.cut(met.select("id", "item_id").distinct(), "candidates")
     checked = (
         docs.join(found, "id")
         .select(F.col("id").alias("doc_id"), "text", "item_id")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinsift.llm import components, handwritten, leakage, neardup, sentences, setjoin, spans, syntax, tokenizer
+from twinsift.llm import components, handwritten, leakage, neardup, sentences, setjoin, spans, syntax, templates, tokenizer
 from twinsift.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,6 +95,11 @@ def p7_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counted.join(documents.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.count("*").alias("documents"), F.sum("tokens").alias("tokens"))
 
 
+def p8_method(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold an item's template, also with other numbers, names and units in its slots."""
+    return templates.template_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
@@ -103,11 +108,6 @@ def p8_items(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.items_leaked(p8_found(spark, folder))
 
 
-def p8_templates(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents that meet an item's template, also with other numbers, names and units in its slots."""
-    return leakage.template_hits(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
-
-
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.split_sentences(table(spark, folder, "documents")).select("doc_id", "sent_end")
 
