@@ -292,6 +292,48 @@ def test_script_extraction():
         script.extract("f(")
 
 
+@pytest.mark.parametrize("text", ["const = 5;", "let x = ;", "if (a b) {}", "function f( {", "const a = <p>open;", "const t = `open ${a}", "/* open", "return 1 }", "x = 'open\n", "class A { m( { } }"])
+def test_invalid_scripts_are_errors(text):
+    with pytest.raises(script.ScriptError):
+        script.lex(text)
+    assert script.syntax_error(text)[0] == 1
+
+
+MARKUP = """export function Card({ title, onPick }: Props) {
+  const total = /[/'"]+/.test(title) ? `it's ${title}` : null;
+  return (
+    <section className="card" data-kind={total} {...rest}>
+      It's ( one { of } the "cards"
+      {items.map((item) => <Row.Cell key={item} onClick={() => onPick(item)}>don't</Row.Cell>)}
+      <></>
+    </section>
+  );
+}
+""".replace("{ of }", "{of}")
+
+
+def test_markup_is_read():
+    tokens = script.lex(MARKUP)
+    partner = script.match_brackets(tokens)
+    assert [t.text for t in tokens if t.kind == "regex"] == ["/[/'\"]+/"]
+    assert [t.text for t in tokens if t.kind == "markup"] == ["section", "className", "data-kind", "key", "onClick", "section"]
+    assert [t.text for t in tokens if t.kind == "text"] == ["¶It's ( one", '¶the "cards"', "¶don't"]
+    (unit,) = script.find_units(tokens, partner)
+    assert (unit.name, unit.start_line, unit.end_line) == ("Card", 1, 10)
+    counts = script.extract(MARKUP).counts
+    assert counts["Row"] == 2 and counts["title"] == 3 and "section" not in counts and "className" not in counts
+    (copy,) = script.read_units(MARKUP.replace("total", "sum").replace("item)", "one)").replace("{item}", "{one}"))
+    assert copy.normalized == unit.normalized and copy.raw != unit.raw
+
+
+def test_dialects_of_scripts():
+    assert script.lex("type T = import('./d').T.U<string>[] | import('x');", "ts") and script.lex("let x = <number>y;", "ts") and script.lex("let x: number = 1;", script.dialect_of("a.js"))
+    with pytest.raises(script.ScriptError):
+        script.lex("const x = <p>1</p>;", script.dialect_of("a.ts"))
+    deep = "type A = " + "(" * 3000 + "a" + ")" * 3000
+    assert script.syntax_error(deep, "ts") is None and script.syntax_error(deep[:-1], "ts")
+
+
 def test_style_reading(spark):
     (rule,) = css.read_rules("@media (x) {\n  .a {\n    --V: A;\n    Color: RED !important;\n    content: 'Q';\n  }\n}\n")
     assert (rule["name"], rule["start_line"], rule["end_line"]) == (".a", 2, 6)

@@ -120,7 +120,7 @@ def mutants(sampled: DataFrame, s: Structure, seed: int) -> DataFrame:
         for batch in batches:
             rows = []
             for path, line, size, text, ord_ in zip(batch["path"], batch["start_line"], batch["size"], batch["text"], batch["ord"]):
-                tokens = script.lex(text)
+                tokens = script.lex(text, script.dialect_of(path))
                 partner = script.match_brackets(tokens)
                 unit = next(u for u in script.find_units(tokens, partner) if u.start_line == line and u.size == size)
                 for kind in MUTATIONS:

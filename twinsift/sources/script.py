@@ -1,4 +1,8 @@
-"""Reading scripts: a lexer, function units as trees, and the references between files.
+"""Reading scripts: tokens, function units as trees, and the references between files.
+
+A script is first checked by the grammar; one that is not valid is an error, and the grammar's marks tell regular
+expressions, templates and markup apart for the tokens. Files of TypeScript are read without markup unless they are for
+it; all ECMAScript files may hold markup and types, as their compiler reads them.
 
 The tree of a unit is concrete syntax: statements and bracketed groups are nodes, tokens are leaves. Locals are numbered
 by first declaration, so renaming them changes nothing; literals are labelled by kind, their text shows only in the raw
@@ -18,17 +22,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinsift.config import SCRIPT_EXTENSIONS
+from twinsift.sources import grammar
 
 _lexeme = re.compile(
-    r"(?P<space>\s+|//[^\n]*|/\*.*?\*/)"
+    r"(?P<space>[\s\ufeff]+|//[^\n]*|/\*.*?\*/)"
     r"|(?P<name>[A-Za-z_$ª-￿][\w$]*)"
     r"|(?P<number>(?:0[xXbBoO][\da-fA-F_]+|\d[\d_]*\.?[\d_]*(?:[eE][+-]?\d+)?|\.\d+)n?)"
     r"|(?P<string>\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*')"
     r"|(?P<sign>=>|\.\.\.|\?\.(?!\d)|===|!==|==|!=|<=|>=|&&=?|\|\|=?|\?\?=?|\+\+|--|\*\*=?|<<=?|>>>?=?|[-+*/%&|^]=|[{}()\[\];,<>+\-*/%&|^!~?:=.@#])",
     re.S,
 ).match
-_pattern = re.compile(r"/(?![*/])(?:[^\\/\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[A-Za-z]*").match
-_NOT_OPERAND = frozenset("return typeof case in of do else void delete throw new instanceof await yield".split())
 _PAIRS = {"(": ")", "[": "]", "{": "}"}
 #: Words of the language; they are labels of their own, never locals.
 WORDS = frozenset(
@@ -46,59 +49,63 @@ class ScriptError(ValueError):
 
 @dataclass(slots=True)
 class Token:
-    kind: str  # name, word, number, string, template, regex, sign, markup
+    kind: str  # name, word, number, string, template, regex, sign; markup (names of elements and attributes), text
     text: str
     line: int
     at: int
 
 
-def lex(text: str) -> list[Token]:
-    """Tokens without white space and comments. Unterminated literals and comments are errors."""
+#: Dialects by extension; any other script is read as one that may hold markup and types.
+DIALECTS = {".ts": "ts", ".mts": "ts", ".cts": "ts"}
+
+
+def dialect_of(path: str | None) -> str:
+    return DIALECTS.get("." + (path or "").rsplit(".", 1)[-1].lower(), "tsx")
+
+
+def syntax_error(text: str, dialect: str = "tsx") -> tuple[int, str] | None:
+    """Line and reason of the first place where a script is not valid."""
+    found = grammar.Script(text, dialect).error()
+    return found and (text.count("\n", 0, found[0]) + 1, found[1])
+
+
+def lex(text: str, dialect: str = "tsx") -> list[Token]:
+    """Tokens of a valid script without white space and comments; a script that is not valid is an error.
+
+    Templates keep their opening sign and markup texts one of their own, so no literal looks like a sign.
+    """
+    check = grammar.Script(text, dialect)
+    if found := check.error():
+        raise ScriptError(text.count("\n", 0, found[0]) + 1, found[1])
     out: list[Token] = []
-    i, n = 0, len(text)
-    lines = [m.start() for m in re.finditer("\n", text)]
-    line = 1
-    k = 0
-    depth: list[int] = []  # braces open inside each template expression
+    i, n, line, counted = 0, len(text), 1, 0
+    if text.startswith("#!"):
+        i = text.find("\n") if "\n" in text else n
     while i < n:
-        while k < len(lines) and lines[k] < i:
-            k += 1
-        line = k + 1
-        c = text[i]
-        if c == "`" or c == "}" and depth and depth[-1] == 0:
-            if c == "}":
-                depth.pop()
-                out.append(Token("sign", "}", line, i))
-            m = re.compile(r"(?:[^`\\$]|\\.|\$(?!\{))*", re.S).match(text, i + 1)
-            end = m.end()
-            if end >= n:
-                raise ScriptError(line, "unterminated template")
-            out.append(Token("template", text[i + 1 : end], line, i))
-            if text[end] == "$":
-                out.append(Token("sign", "{", line, end))
-                depth.append(0)
-                i = end + 2
+        line, counted = line + text.count("\n", counted, i), i
+        if i in check.marks:
+            end, kind = check.marks[i]
+            if kind == "template":
+                opens = text[end - 1] == "{"
+                if text[i] == "}":
+                    out.append(Token("sign", "}", line, i))
+                out.append(Token("template", "`" + text[i + 1 : end - 1 - opens], line, i))
+                if opens:
+                    out.append(Token("sign", "{", line + text.count("\n", i, end), end - 1))
+            elif kind == "text":
+                if text[i:end].strip():
+                    out.append(Token("text", "¶" + " ".join(text[i:end].split()), line, i))
             else:
-                i = end + 1
+                out.append(Token("markup" if kind in ("element", "attribute") else kind, text[i:end], line, i))
+            i = end
             continue
-        if c == "/" and not text.startswith(("//", "/*"), i):
-            last = out[-1] if out else None
-            operand = last is not None and (last.kind in ("name", "number", "string", "template", "regex") or last.text in (")", "]", "}") or last.kind == "word" and last.text not in _NOT_OPERAND)
-            m = None if operand else _pattern(text, i)
-            if m:
-                out.append(Token("regex", m.group(), line, i))
-                i = m.end()
-                continue
         m = _lexeme(text, i)
         if not m:
-            raise ScriptError(line, "unterminated comment" if text.startswith("/*", i) else "unterminated string" if c in "\"'" else f"unexpected character {c!r}")
+            raise ScriptError(line, f"unexpected character {text[i]!r}")
         kind, t = m.lastgroup, m.group()
+        if kind != "space":
+            out.append(Token("word" if kind == "name" and t in WORDS else kind, t, line, i))
         i = m.end()
-        if kind == "space":
-            continue
-        if kind == "sign" and depth:
-            depth[-1] += (t == "{") - (t == "}")
-        out.append(Token("word" if kind == "name" and t in WORDS else kind, t, line, m.start()))
     return out
 
 
@@ -184,7 +191,7 @@ def _tree(tokens: list[Token], partner: dict[int, int], root: str, spans: list[t
         t = tokens[i]
         if t.text in (";", ","):
             return None
-        if t.kind in ("number", "string", "template", "regex"):
+        if t.kind in ("number", "string", "template", "regex", "text"):
             return (t.kind, f"{t.kind}:{t.text}", [])
         if t.kind == "name":
             before = tokens[i - 1].text if i else ""
@@ -386,8 +393,8 @@ def _expression_end(tokens: list[Token], partner: dict[int, int], i: int) -> int
     return min(last, len(tokens) - 1)
 
 
-def read_units(text: str, min_lines: int = 5, min_nodes: int = 40) -> list[Unit]:
-    tokens = lex(text)
+def read_units(text: str, min_lines: int = 5, min_nodes: int = 40, dialect: str = "tsx") -> list[Unit]:
+    tokens = lex(text, dialect)
     return [u for u in find_units(tokens, match_brackets(tokens)) if u.end_line - u.start_line + 1 >= min_lines and u.size >= min_nodes]
 
 
@@ -406,7 +413,7 @@ def script_units(files: DataFrame, min_lines: int, min_nodes: int) -> DataFrame:
             rows: list[tuple] = []
             for ord_, path, text in zip(batch["ord"], batch["path"], batch["text"]):
                 try:
-                    for k, u in enumerate(read_units(text or "", min_lines, min_nodes)):
+                    for k, u in enumerate(read_units(text or "", min_lines, min_nodes, dialect_of(path))):
                         rows.append((int(ord_) * 100_000 + k, path, u.name, u.start_line, u.end_line, u.size, u.normalized, u.raw, u.features, u.labels, u.leftmost, None))
                 except ScriptError as e:
                     rows.append((int(ord_) * 100_000, path, None, None, None, None, None, None, None, None, None, str(e)))
@@ -449,9 +456,9 @@ def _names_in_braces(tokens: list[Token], a: int, b: int) -> list[tuple[str, str
     return out
 
 
-def extract(text: str) -> Extraction:
+def extract(text: str, dialect: str = "tsx") -> Extraction:
     """Imports, exports, computed references, other string literals and identifier counts of a script."""
-    tokens = lex(text)
+    tokens = lex(text, dialect)
     partner = match_brackets(tokens)
     out = Extraction([], [], [], [], {})
     seen: set[str] = set()
@@ -474,7 +481,7 @@ def extract(text: str) -> Extraction:
                 single = partner.get(i + 1) == i + 3
                 inner = quoted(i + 2) if single else None
                 if inner is None and single and tokens[i + 2].kind == "template":
-                    inner = tokens[i + 2].text
+                    inner = tokens[i + 2].text[1:]
                 if inner is not None:
                     used.add(i + 2)
                     kind = "import" if before in (":", "|", "&", "<", "=") and i + 4 < n and tokens[i + 4].text == "." and "type" in [x.text for x in tokens[max(0, i - 4) : i]] else "dynamic-import"
@@ -509,7 +516,7 @@ def extract(text: str) -> Extraction:
             single = partner.get(i + 1) == i + 3
             inner = quoted(i + 2) if single else None
             if inner is None and single and tokens[i + 2].kind == "template":
-                inner = tokens[i + 2].text
+                inner = tokens[i + 2].text[1:]
             if inner is not None:
                 used.add(i + 2)
                 out.edges.append((inner, "require", ["*"]))
@@ -588,7 +595,7 @@ def script_references(files: DataFrame) -> DataFrame:
             rows: list[tuple] = []
             for path, text in zip(batch["path"], batch["text"]):
                 try:
-                    e = extract(text or "")
+                    e = extract(text or "", dialect_of(path))
                 except (ScriptError, IndexError):
                     continue
                 rows += [(path, "edge", s, k, names, None, None) for s, k, names in e.edges]
