@@ -3,6 +3,7 @@
 import random
 import unicodedata
 from itertools import combinations
+from math import comb
 
 import pytest
 
@@ -148,6 +149,40 @@ def test_shared_spans_match_brute_force(spark, monkeypatch):
     assert got == want and len(want) > 30
 
 
+def test_signatures_stand_still_over_compact_windows():
+    import numpy as np
+
+    draw = random.Random(9)
+    text = "".join(draw.choice("abcdef") for _ in range(400))
+    length = 60
+    key, start, end = spans.signatures(text, length)
+    held = {k: [] for k in key.tolist()}
+    for k, a, b in zip(key.tolist(), start.tolist(), end.tolist()):
+        held[k].append((a, b))
+    for i in range(len(text) - length + 1):  # every passage has the keys of its own signature, and lies inside them
+        own = set(spans.signatures(text[i : i + length], length)[0].tolist())
+        assert len(own) == comb(spans.HASHES, spans.AGREE) and all(any(a <= i and i + length <= b for a, b in held[k]) for k in own)
+    assert len(key) < 3 * 4 * spans.HASHES * len(text) / length and len(spans.signatures("short", length)[0]) == 0
+    assert np.all(end - start >= length)
+
+
+def test_near_passages_hold_all_shared_runs(spark):
+    draw = random.Random(5)
+    block = lambda n: "".join(draw.choice("abcdefghijklm \n") for _ in range(n))
+    shared, other = block(360), block(900)
+    edited = other[:450] + "#" + other[451:]
+    texts = [(1, block(400) + shared + block(90)), (2, shared + block(200)), (3, other), (4, block(50) + edited), (5, block(2000)), (6, "x" * 310), (7, "x" * 310), (8, None), (9, ""), (None, shared), (10, shared[:299]), (1, "")]
+    files = file_table(spark, texts)
+    found = {}
+    for r in spans.near_passages(files).collect():
+        found.setdefault(r["file_id"], []).append((r["start"], r["end"]))
+    for r in spans.fragments(files).collect():
+        assert any(a <= r["start"] and r["end"] <= b for a, b in found[r["file_id"]])
+    assert set(found) == {1, 2, 3, 4, 6, 7} and found[6] == [(0, 310)]
+    assert all(a >= 200 for a, b in found[1]) and found[3][0][0] <= 5 and found[3][-1][1] >= 895  # near copies over the edit too
+    assert spans.near_passages(file_table(spark, [])).count() == 0
+
+
 def test_shared_part_and_lines(spark):
     draw = random.Random(4)
     run = "".join(draw.choice("abcdefgh\n") for _ in range(400))

@@ -73,6 +73,11 @@ def p5_unit_classes(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.classes(*neardup.near_units(table(spark, folder, "units")))
 
 
+def p6_method(spark: SparkSession, folder: str) -> DataFrame:
+    """The stretches of each file that another file has, exactly or nearly: compact windows of several min-hashes."""
+    return spans.near_passages(table(spark, folder, "source_files"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return spans.file_pairs(table(spark, folder, "source_files"))
 

@@ -114,8 +114,8 @@ def slabs(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[str]]]
         yield first, piece
 
 
-def window_minima(values: np.ndarray, w: int) -> np.ndarray:
-    """Positions that are the leftmost minimum of some ``w`` consecutive values, ascending. Values are below 2**32.
+def window_least(values: np.ndarray, w: int) -> np.ndarray:
+    """For every ``w`` consecutive values the position of their leftmost minimum. Values are below 2**32.
 
     A value and its position share one 64-bit number, so the minimum of a window names its place; running minima over
     blocks of ``w``, forwards and backwards, give every window's minimum in a fixed number of passes.
@@ -128,29 +128,10 @@ def window_minima(values: np.ndarray, w: int) -> np.ndarray:
     blocks = placed.reshape(-1, w)
     ahead = np.minimum.accumulate(blocks, axis=1).ravel()
     behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = np.minimum(behind[: n - w + 1], ahead[w - 1 : n])
-    least = least[np.concatenate([[True], least[1:] != least[:-1]])]
-    return (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
-
+    return (np.minimum(behind[: n - w + 1], ahead[w - 1 : n]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
-def compact_bounds(values: np.ndarray, anchors: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each anchor the widest window ``[left, right]``, at most ``reach`` to either side, of which it is the leftmost minimum.
 
-    These are the subtrees of the sequence's Cartesian tree: to the left every value is larger, to the right none smaller.
-    """
-    n = len(values)
-    if not len(anchors):
-        return anchors, anchors
-    left = np.maximum(anchors - reach, 0)
-    right = np.minimum(anchors + reach, n - 1)
-    for k in range(0, len(anchors), 512):
-        own = anchors[k : k + 512]
-        near = own[:, None] + np.arange(1, reach + 1)[None, :]
-        below = (near < n) & (values[np.minimum(near, n - 1)] < values[own][:, None])
-        hit = below.any(axis=1)
-        right[k : k + 512][hit] = own[hit] + below[hit].argmax(axis=1)
-        near = own[:, None] - np.arange(1, reach + 1)[None, :]
-        below = (near >= 0) & (values[np.maximum(near, 0)] <= values[own][:, None])
-        hit = below.any(axis=1)
-        left[k : k + 512][hit] = own[hit] - below[hit].argmax(axis=1)
-    return left, right
+def window_minima(values: np.ndarray, w: int) -> np.ndarray:
+    """Positions that are the leftmost minimum of some ``w`` consecutive values, ascending. Values are below 2**32."""
+    least = window_least(values, w)
+    return least[np.concatenate([[True], least[1:] != least[:-1]])] if len(least) else least

@@ -17,13 +17,15 @@ hold. Candidates are verified on the texts; nothing is capped.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinsift.llm.rolling import Slices, code_points, window_minima
+from twinsift.llm.rolling import Slices, code_points, mixed, window_least, window_minima
+from twinsift.operators.lines import span_islands
 from twinsift.session import Scratch
 
 LENGTH = 300
@@ -32,6 +34,42 @@ COARSE, FINE = 100, 10
 #: Distinct texts above which a key is joined by the finer slices.
 CROWD = 48
 BUCKETS = 1 << 18
+#: Min-hashes of a passage, and how many of them two passages must share.
+HASHES, AGREE = 3, 3
+
+
+def signatures(text: str, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(key, start, end)``: the passages of a text that share ``AGREE`` of their ``HASHES`` min-hashes, by those.
+
+    Each hash function cuts the text into compact windows: the passages of ``length`` characters that share one leftmost
+    minimum begin in an interval, the width of that minimum's subtree in the Cartesian tree. Where the intervals of all
+    functions overlap, the whole signature stands still; every such overlap gives one key for each choice of ``AGREE``
+    hashes, with the stretch of text that its passages cover. A text has about ``2 * HASHES * n / length`` overlaps.
+    """
+    points = code_points(text)
+    n = len(points)
+    if n < length:
+        nothing = np.empty(0, np.int64)
+        return nothing.astype(np.uint64), nothing, nothing
+    grams = Slices(points).grams(GRAM)
+    least = np.stack([window_least(mixed(grams + np.uint64(k * 0x9E3779B9)) >> np.uint64(32), length - GRAM + 1) for k in range(HASHES)])
+    begin = np.flatnonzero(np.concatenate([[True], (least[:, 1:] != least[:, :-1]).any(axis=0)]))
+    last = np.concatenate([begin[1:] - 1, [least.shape[1] - 1]])
+    own = mixed(grams[least[:, begin]] + np.arange(HASHES, dtype=np.uint64)[:, None])
+    keys = []
+    for k, chosen in enumerate(combinations(range(HASHES), AGREE)):
+        key = np.full(len(begin), k, np.uint64)
+        for j in chosen:
+            key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + own[j])
+        keys.append(key)
+    key = np.concatenate(keys)
+    start, end = np.tile(begin, len(keys)), np.tile(last + length, len(keys))
+    order = np.argsort(key, kind="stable")
+    key, start, end = key[order], start[order], end[order]
+    # overlaps of one key that follow one another are one stretch
+    apart = np.concatenate([[True], (key[1:] != key[:-1]) | (start[1:] > end[:-1] - length + 1)])
+    first = np.flatnonzero(apart)
+    return key[first], start[first], np.maximum.reduceat(end, first)
 
 
 def tree_bounds(values: np.ndarray, anchors: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -234,3 +272,46 @@ def shared_part(files: DataFrame, length: int = LENGTH) -> DataFrame:
     """``(file_id, shared_chars, n_chars, share)``: how much of each file with a shared stretch lies in common runs."""
     parts = fragments(files, length).groupBy("file_id", "n").agg(F.sum("chars").alias("shared_chars"))
     return parts.select("file_id", "shared_chars", F.col("n").cast("bigint").alias("n_chars"), (F.col("shared_chars") / F.col("n")).alias("share"))
+
+
+def near_passages(files: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``(file_id, start, end)``: the merged stretches of each file whose passages another file has, exactly or nearly.
+
+    The method over the whole table: compact windows of several min-hashes, joined where enough of them agree. Two
+    passages of ``length`` characters meet if they share ``AGREE`` of ``HASHES`` min-hashes of their character runs, so
+    every common run of ``length`` characters is covered, and near copies are found by their similarity. Keys are counted,
+    not paired: what a third of all files hold costs one row a file. Defined cases: as in ``file_pairs``; equal texts are
+    shared whole.
+    """
+    if length < 2 * GRAM:
+        raise ValueError(f"the length must be at least {2 * GRAM}")
+    scratch = Scratch(files.sparkSession, "passages")
+    records = text_records(files, length)
+    members = scratch.cut(records.select("id", "tid", "n").distinct(), "members")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for batch in batches:
+            columns: list[list[np.ndarray]] = [[], [], [], [], []]
+            for tid, n, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if (tid, n) in seen:
+                    continue  # copies within a task are indexed once
+                seen.add((tid, n))
+                key, start, end = signatures(body.as_py(), length)
+                for column, x in zip(columns, (key.view(np.int64), np.full(len(key), tid, np.int64), np.full(len(key), n, np.int64), start, end)):
+                    column.append(x)
+            if columns[0]:
+                key, tid, n, start, end = (np.concatenate(c) for c in columns)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(tid), *(pa.array(x.astype(np.int32)) for x in (n, start, end))], names=["key", "tid", "n", "start", "end"])
+
+    keys = scratch.cut(records.select("tid", "n", "text").mapInArrow(run, "key bigint, tid bigint, n int, start int, end int"), "keys")
+    text = F.struct("tid", "n")
+    met = keys.groupBy("key").agg(F.min(text).alias("low"), F.max(text).alias("high")).where("low <> high").select("key")
+    near = keys.join(met, "key", "left_semi").select("tid", "n", "start", "end").distinct()
+    copied = members.groupBy("tid", "n").agg(F.count("*").alias("copies")).where("copies > 1").select("tid", "n", F.lit(0).alias("start"), F.col("n").alias("end"))
+    lines = near.unionByName(copied).select(F.struct("tid", "n").alias("path"), (F.col("start") + 1).alias("start_line"), F.col("end").alias("end_line"))
+    merged = span_islands(lines, "path").select("path.tid", "path.n", (F.col("start_line") - 1).alias("start"), F.col("end_line").alias("end"))
+    out = scratch.cut(members.join(merged, ["tid", "n"]).select(F.col("id").alias("file_id"), "start", "end"), "passages")
+    scratch.drop(keys)
+    scratch.drop(members)
+    return out
