@@ -143,6 +143,19 @@ def test_a_counter_is_weighed_by_the_names(spark):
     assert {r["file_id"]: r["kind"] for r in handwritten.classify(table).collect()} == {1: "generated"}
 
 
+def test_names_alone_tell_mangled_and_template_files(spark):
+    nouns = "order price basket stock ledger ticket invoice parcel cargo harbour".split()
+    hand = [(i, "shop", f"src/h{i}.{'ts' if i % 2 else 'js'}", HAND + "".join(f"function {a}{b.title()}(value) {{ return value; }}\n" for a in nouns[i % 7 :] for b in nouns[: 5 + i % 5])) for i in range(20)]
+    draw = random.Random(3)
+    mangled = "".join("{0}={1}({2});".format(*("".join(draw.choice("qxzjkvwQXZJ9$") for _ in range(3)) + "_" for _ in range(3))) + ("\n" if i % 3 == 0 else "") for i in range(80))
+    template = "".join(f"export const orderBasketPrice{7 * i * i % 901} = open();\n" for i in range(1, 15))
+    table = spark.createDataFrame([*hand, (50, "shop", "src/m.js", mangled), (51, "shop", "src/t.ts", template)], "file_id bigint, repo string, path string, text string")
+    verdicts = {r["file_id"]: r["verdict"] for r in handwritten.named_verdicts(table).collect()}
+    assert verdicts == {**{i: None for i in range(20)}, 50: "mangled", 51: "template"}
+    assert {r["file_id"]: r["kind"] for r in handwritten.classify(table).collect()} == {50: "minified", 51: "generated"}
+    assert not handwritten.packed(mangled) and handwritten.counter_run(template) < handwritten.STEPS
+
+
 def test_names_of_several_texts():
     found = handwritten.Names(["let ab = cd + ab; 12x", ".a-b { c: d }\n#e:hover {}", '{"k1": {"k-2": "v"}}', "é"], [0, 1, 2, 0])
     words = found.words()

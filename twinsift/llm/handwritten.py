@@ -1,8 +1,9 @@
 """Problem 4: generated, minified or vendored source files.
 
 ``name_model`` is the learned part: for each language a character trigram model of identifiers, counted over all files.
-A file whose identifiers cost many bits a character under its language's model has mangled names; one whose names count
-up within one template was written by a tool; one whose naming style is rare in its repository is foreign.
+A file whose identifiers cost a good deal more bits a character than its language's names do has mangled names; one whose
+names fall into few templates, or count up within one, was written by a tool; one whose naming style is rare in its
+repository is foreign.
 
 ``classify`` adds what names cannot show: banners of generators, library banners and module wrappers, third-party
 folders, and the shape of data kept as code. A vendored copy may share its names with the project that took it, so the
@@ -23,11 +24,14 @@ from twinsift.llm.rolling import Slices, slabs
 
 #: Characters of the models: letters (by case), digits, underscore, dollar, dash, and the boundary of a name.
 ALPHABET = 66
-LANGUAGES = {"ts": 0, "tsx": 0, "js": 0, "mjs": 0, "cjs": 0, "jsx": 0, "css": 1, "json": 2}
-#: Bits a character above which a file's names count as mangled.
-MANGLED_BITS = 3.6
+TYPED, STYLES, DATA, PLAIN = range(4)
+LANGUAGES = {"ts": TYPED, "tsx": TYPED, "js": PLAIN, "mjs": PLAIN, "cjs": PLAIN, "jsx": PLAIN, "css": STYLES, "json": DATA}
+#: Cross-entropy of a file's names, as a multiple of that of all names of its language, from which they count as mangled.
+MANGLED = 1.35
 #: Share of white space up to which a text with mangled names counts as minified; a foreign language's names cost bits too.
 DENSE = 0.1
+#: Templates of names to names, up to which a file's names are template-like.
+DIVERSITY = 0.75
 #: Names needed for a judgement on them.
 LEAST_NAMES = 8
 #: Consecutive numbers within one name template, and their share of a file's names, from which it is a filled-in template.
@@ -35,7 +39,7 @@ STEPS, STEP_SHARE = 4, 0.1
 #: A naming style held by less than this share of a repository's names is foreign to it.
 FOREIGN_SHARE = 0.02
 
-_name = {1: re.compile(r"[.#]([A-Za-z_][\w-]*)(?=[^;{}]*\{)", re.A), 2: re.compile(r'"([A-Za-z_$][\w$-]*)"\s*:', re.A)}
+_name = {STYLES: re.compile(r"[.#]([A-Za-z_][\w-]*)(?=[^;{}]*\{)", re.A), DATA: re.compile(r'"([A-Za-z_$][\w$-]*)"\s*:', re.A)}
 _counted = re.compile(r"([A-Za-z_$][\w$-]*+)(?:\s*+[:=(\[]\s*+(\d{1,6})(?![\w.]))?", re.A)
 _code = np.full(128, 65, np.int64)
 for _i in range(26):
@@ -52,7 +56,7 @@ def language(path: str | None) -> int | None:
 
 def name_source(text: str, kind: int) -> str:
     """What a text's names are read from: code as it is, the classes and ids of style rules, the keys of JSON."""
-    return text if kind == 0 else "\n".join(_name[kind].findall(text))
+    return text if kind in (TYPED, PLAIN) else "\n".join(_name[kind].findall(text))
 
 
 class Names:
@@ -67,7 +71,7 @@ class Names:
         self.code = code = _code[np.minimum(raw, 127)]
         style = np.zeros(len(raw), bool)
         begins = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 2)]) + 2
-        for i in np.flatnonzero(np.asarray(kinds) != 0):  # a dash is part of a name there
+        for i in np.flatnonzero(np.isin(kinds, (STYLES, DATA))):  # a dash is part of a name there
             style[begins[i] : begins[i + 1] - 2] = True
         part = np.zeros(len(raw) + 1, np.int8)
         part[1:] = (code < 65) | style & (raw == 45)
@@ -113,27 +117,40 @@ def _files(source_files: DataFrame) -> DataFrame:
     return source_files.where(F.col("file_id").isNotNull() & (F.length("text") > 0)).select(F.col("file_id").cast("bigint").alias("file_id"), "repo", "path", F.col("text").cast("string").alias("text"))
 
 
-def name_model(source_files: DataFrame) -> np.ndarray:
-    """``-log2 P(c | a, b)`` for each language and trigram, counted over the distinct names of every file, smoothed."""
+def _packed_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition's counts as one row of bytes."""
+    parts = [(np.asarray(x.column(0)).astype(np.int32), np.asarray(x.column(1)).astype(np.int64)) for x in batches]
+    if parts:
+        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(c).tobytes()], pa.binary()) for c in zip(*parts)], names=["tri", "n"])
+
+
+def name_model(source_files: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """``-log2 P(c | a, b)`` for each language and trigram, smoothed, and the mean of each language's names.
+
+    Counted over the distinct names of every file; at most ``4 * ALPHABET ** 3`` counts of 12 bytes come to the driver.
+    """
+    kinds_, cells = len(set(LANGUAGES.values())), ALPHABET**3
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(3 * ALPHABET**3, np.int64)
+        total = np.zeros(kinds_ * cells, np.int64)
         for batch in batches:
             for _, kinds, texts in name_pieces(batch, 0, 1):
                 row, tri = Names(texts, kinds).trigrams()
-                total += np.bincount(np.asarray(kinds)[row] * ALPHABET**3 + tri, minlength=len(total))
+                total += np.bincount(np.asarray(kinds)[row] * cells + tri, minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["tri", "n"])
 
-    rows = _files(source_files).select("path", "text").mapInArrow(run, "tri bigint, n bigint").groupBy("tri").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(3 * ALPHABET**3)
-    for row in rows:
-        counts[row["tri"]] = row["n"]
-    counts = counts.reshape(3, ALPHABET, ALPHABET, ALPHABET)
+    counted = _files(source_files).select("path", "text").mapInArrow(run, "tri bigint, n bigint").groupBy("tri").agg(F.sum("n").alias("n"))
+    counts = np.zeros(kinds_ * cells)
+    for row in counted.mapInArrow(_packed_counts, "tri binary, n binary").collect():
+        counts[np.frombuffer(row["tri"], np.int32)] = np.frombuffer(row["n"], np.int64)
+    counts = counts.reshape(kinds_, ALPHABET, ALPHABET, ALPHABET)
     pairs = counts.sum(axis=1)  # backing off to P(c | b), then to uniform
     back = (pairs + 0.5) / (pairs.sum(axis=2, keepdims=True) + 0.5 * ALPHABET)
     share = (counts + 5 * back[:, None]) / (counts.sum(axis=3, keepdims=True) + 5)
-    return -np.log2(share).reshape(3, -1).astype(np.float32)
+    cost = -np.log2(share).reshape(kinds_, -1).astype(np.float32)
+    flat = counts.reshape(kinds_, -1)
+    return cost, (flat * cost).sum(axis=1) / np.maximum(flat.sum(axis=1), 1)
 
 
 def counter_run(text: str) -> int:
@@ -187,7 +204,7 @@ _wrapper = r";?\(function \((?:root, factory|global, factory|)\) ?\{"
 MODULE_WRAPPER = re.compile(_before + _wrapper)
 _wraps = re.compile(r"\s*" + _wrapper)
 _strings = r"|\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|`(?:[^`\\]|\\.)*+`|[{}]"
-_pieces = [re.compile(x, re.S) for x in (r"//[^\n]*+|/\*.*?(?:\*/|\Z)" + _strings, r"/\*.*?(?:\*/|\Z)" + _strings, r"//[^\n]*+|/\*.*?(?:\*/|\Z)" + _strings)]
+_pieces = [re.compile(x, re.S) for x in (r"//[^\n]*+|/\*.*?(?:\*/|\Z)" + _strings, r"/\*.*?(?:\*/|\Z)" + _strings, r"//[^\n]*+|/\*.*?(?:\*/|\Z)" + _strings, r"//[^\n]*+|/\*.*?(?:\*/|\Z)" + _strings)]
 _opens_module = re.compile(r"(?:function\s*\([^(){}]*\)|=>)\s*\Z")
 
 
@@ -216,7 +233,7 @@ def top_marks(text: str, kind: int, banner: re.Pattern, version: bool = False) -
         while at < len(spots) and spots[at] < end:
             if comment and all(outer) and (not version or start < head or piece.startswith("/*!") or _wraps.match(text, end)):
                 return True
-            if not comment and not version and kind == 2 and len(outer) <= 1:
+            if not comment and not version and kind == DATA and len(outer) <= 1:
                 return True
             at += 1
         if piece == "{":
@@ -238,7 +255,7 @@ def data_like(text: str, kind: int) -> bool:
     digits = sum(map(text.count, "0123456789"))
     if digits >= 0.4 * len(text) and len(text) >= 200:
         return True
-    if kind == 1:
+    if kind == STYLES:
         return False
     if (run := _base64.search(text)) and len(run.group()) >= 0.4 * len(text):
         return True
@@ -291,8 +308,8 @@ def _style_shares(source_files: DataFrame) -> DataFrame:
     return held.select("repo", "kind", "style", (F.col("n") / whole).alias("share"))
 
 
-_LEARNED = "file_id bigint, repo string, kind int, names int, bits double, diversity double, counter int, style string"
-_MARKS = "file_id bigint, kind int, names int, bits double, counter int, banner boolean, library boolean, wrapper boolean, folder boolean, data boolean, packed boolean, blank double"
+_LEARNED = "file_id bigint, repo string, kind int, names int, bits double, excess double, diversity double, counter int, style string"
+_MARKS = "file_id bigint, kind int, names int, bits double, excess double, diversity double, counter int, banner boolean, library boolean, wrapper boolean, folder boolean, data boolean, packed boolean, blank double"
 
 
 def _arrow(columns: list, schema: str) -> pa.RecordBatch:
@@ -302,12 +319,12 @@ def _arrow(columns: list, schema: str) -> pa.RecordBatch:
 
 
 def _scores(source_files: DataFrame, rules: bool) -> DataFrame:
-    """For each file the learned scores, with diversity and style, or (``rules``) with the marks of its text."""
+    """For each file the learned scores, with its style or (``rules``) with the marks of its text."""
     model = source_files.sparkSession.sparkContext.broadcast(name_model(source_files))
     schema = _MARKS if rules else _LEARNED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cost = model.value.ravel()
+        cost, mean = model.value[0].ravel(), model.value[1]
         for batch in batches:
             ids, repos, paths = (batch.column(i).to_pylist() for i in range(3))
             for rows, kinds, texts in name_pieces(batch, 2, 3):
@@ -315,8 +332,14 @@ def _scores(source_files: DataFrame, rules: bool) -> DataFrame:
                 row, tri = found.trigrams()
                 size = np.bincount(row, minlength=len(texts))
                 bits = np.bincount(row, cost[np.asarray(kinds)[row] * ALPHABET**3 + tri], minlength=len(texts)) / np.maximum(size, 1)
+                excess = bits / np.maximum(mean[np.asarray(kinds)], 1e-9)
                 counters = [counter_run(t) for t in texts]
                 own = [ids[r] for r in rows]
+                templates: list[set[str]] = [set() for _ in texts]
+                words = found.words()
+                for at, x in zip(found.row.tolist(), words):
+                    templates[at].add(_stem(x) if _digits.search(x) else x)
+                diversity = [len(t) / max(1, n) for t, n in zip(templates, found.count.tolist())]
                 if rules:
                     marks = [
                         [top_marks(t, k, GENERATED_BANNER) for t, k in zip(texts, kinds)],
@@ -327,36 +350,32 @@ def _scores(source_files: DataFrame, rules: bool) -> DataFrame:
                         [packed(t) for t in texts],
                         [blank_share(t) for t in texts],
                     ]
-                    yield _arrow([own, kinds, found.count, bits, counters, *marks], schema)
+                    yield _arrow([own, kinds, found.count, bits, excess, diversity, counters, *marks], schema)
                     continue
                 styles: list[dict[str, int]] = [{} for _ in texts]
-                templates: list[set[str]] = [set() for _ in texts]
-                for at, x in zip(found.row.tolist(), found.words()):
+                for at, x in zip(found.row.tolist(), words):
                     s = naming_style(x)
                     styles[at][s] = styles[at].get(s, 0) + 1
-                    templates[at].add(_template(x))
                 best = [max(s, key=lambda k: (s[k], k)) if s else None for s in styles]
-                diversity = [len(t) / max(1, n) for t, n in zip(templates, found.count.tolist())]
-                yield _arrow([own, [repos[r] for r in rows], kinds, found.count, bits, diversity, counters, best], schema)
+                yield _arrow([own, [repos[r] for r in rows], kinds, found.count, bits, excess, diversity, counters, best], schema)
 
     return _files(source_files).select("file_id", "repo", "path", "text").mapInArrow(run, schema)
 
 
-def _counts_up():
-    return (F.col("counter") >= STEPS) & (F.col("counter") >= STEP_SHARE * F.col("names"))
+def _mangled():
+    return (F.col("names") >= LEAST_NAMES) & (F.col("excess") >= MANGLED)
 
 
-def _by_names():
-    enough = F.col("names") >= LEAST_NAMES
-    mangled = enough & (F.col("bits") >= MANGLED_BITS)
-    template = _counts_up()
-    return F.when(mangled, "mangled").when(template, "template")
+def _template_like():
+    """Names of few templates, or names and values that count up within one."""
+    counts_up = (F.col("counter") >= STEPS) & (F.col("counter") >= STEP_SHARE * F.col("names"))
+    return (F.col("names") >= LEAST_NAMES) & (F.col("diversity") <= DIVERSITY) | counts_up
 
 
 def named_verdicts(source_files: DataFrame) -> DataFrame:
-    """``(file_id, names, bits, diversity, style, share, verdict)``: the learned method over the whole table.
+    """``(file_id, names, bits, excess, diversity, style, share, verdict)``: the learned method over the whole table.
 
-    ``verdict`` is mangled (costly names), template (names that count up within one template), foreign (a naming style rare
+    ``verdict`` is mangled (costly names), template (names of few templates, or that count up within one), foreign (a naming style rare
     in its repository) or null. Files of other kinds than scripts, style sheets and JSON, null and blank texts have no
     row; a file delivered twice has one row.
     """
@@ -364,8 +383,8 @@ def named_verdicts(source_files: DataFrame) -> DataFrame:
     shares = _style_shares(source_files).withColumnsRenamed({"repo": "r", "kind": "k", "style": "s"})
     joined = scored.join(shares, scored.repo.eqNullSafe(shares.r) & (scored.kind == shares.k) & (scored.style == shares.s), "left")
     foreign = (F.col("names") >= LEAST_NAMES) & (F.col("share") < FOREIGN_SHARE)
-    verdict = F.coalesce(_by_names(), F.when(foreign, "foreign"))
-    return joined.select("file_id", "names", F.round("bits", 4).alias("bits"), F.round("diversity", 4).alias("diversity"), "style", F.round("share", 4).alias("share"), verdict.alias("verdict")).distinct()
+    verdict = F.when(_mangled(), "mangled").when(_template_like(), "template").when(foreign, "foreign")
+    return joined.select("file_id", "names", F.round("bits", 4).alias("bits"), F.round("excess", 4).alias("excess"), F.round("diversity", 4).alias("diversity"), "style", F.round("share", 4).alias("share"), verdict.alias("verdict")).distinct()
 
 
 def classify(source_files: DataFrame) -> DataFrame:
@@ -377,9 +396,9 @@ def classify(source_files: DataFrame) -> DataFrame:
     """
     scored = _scores(source_files, rules=True)
     kind = (
-        F.when(~F.col("data") & (F.col("packed") | (F.col("kind") != 2) & (F.col("blank") <= DENSE) & (F.col("names") >= LEAST_NAMES) & (F.col("bits") >= MANGLED_BITS)), "minified")
+        F.when(~F.col("data") & (_mangled() & (F.col("blank") <= DENSE) | F.col("packed")), "minified")
         .when(F.col("data"), "data")
-        .when(F.col("banner") | _counts_up(), "generated")
+        .when(F.col("banner") | _template_like(), "generated")
         .when(F.col("library") | F.col("wrapper") | F.col("folder"), "vendored")
     )
     return scored.select("file_id", kind.alias("kind")).where(F.col("kind").isNotNull()).distinct()
