@@ -38,6 +38,24 @@ def test_set_pairs_match_brute_force(spark, threshold, monkeypatch):
     assert got == want
 
 
+def test_large_hot_sets_have_bounded_keys_and_match_brute_force(spark, monkeypatch):
+    """A third of all sets draw on one vocabulary, with up to a thousand tokens."""
+    rule = setjoin.SizeRule(0.85)
+    assert all(sum(setjoin.comb(s - setjoin.ceil(rule.t * s) + r, r) for r in setjoin._run_lengths(rule, 3)(s)) <= 3 * setjoin.HOT_KEYS for s in range(1, 4000))
+    monkeypatch.setattr(setjoin, "HOT_LEAST", 6)
+    draw = random.Random(12)
+    sets = {}
+    for i, n in enumerate([30, 60, 90, 110, 130, 240, 280, 1000, 1100] * 3):
+        base = set(range(n))
+        sets[i] = base - set(draw.sample(sorted(base), draw.randrange(n // 14))) | {5000 + draw.randrange(40) for _ in range(n // 40)}
+    for i in range(30, 80):
+        sets[i] = set(draw.sample(range(9000, 99000), draw.choice([4, 25, 300])))
+    records = setjoin.record_sets(spark.createDataFrame([(k, list(v), "x", 1) for k, v in sets.items()], RULES), "rule_id")
+    got = {(r["a"], r["b"]) for r in setjoin.expand_pairs(*setjoin.similar_sets(records, 0.85)).collect()}
+    want = {(a, b) for a, b in combinations(sorted(sets), 2) if jaccard(sets[a], sets[b]) >= 0.85}
+    assert got == want and len(want) > 20
+
+
 def test_set_pairs_defined_cases(spark):
     empty = spark.createDataFrame([], RULES)
     assert setjoin.rule_pairs(empty, empty).count() == 0

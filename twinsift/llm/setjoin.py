@@ -7,8 +7,9 @@ false candidate arises. A pair with a large set is found by scanning inverted li
 ``SUBSET_BUDGET`` subsets to enumerate; larger sizes would have too many.
 
 Equal sets are collapsed first: the join runs over distinct sets, and their holders are put back at the end. Long
-inverted lists are not scanned by single tokens: where all tokens two sets share are frequent, they must share
-``HOT_RUN`` tokens of a slightly longer prefix, and the join key is that combination.
+inverted lists are not scanned by single tokens: where all tokens two sets share are frequent, they must share several
+tokens of a slightly longer prefix, and the join key is that combination. How many depends on the larger set's size, so
+that a set of thousands of tokens has no more combinations than a short one.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import itertools
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import lru_cache
 from math import ceil, comb, floor
 
 import numpy as np
@@ -31,8 +33,9 @@ MIN_SIZE = 3
 SUBSET_BUDGET = 48
 #: No set is small beyond this size, however few subsets a threshold near 1 asks for.
 LARGEST_SMALL = 256
-#: An inverted list longer than this share of all distinct sets (and than HOT_LEAST) is scanned by combinations.
-HOT_SHARE, HOT_LEAST, HOT_RUN = 0.002, 200, 3
+#: An inverted list longer than this is scanned by combinations of up to HOT_RUN tokens, whatever the size of the table;
+#: of the lengths that leave a set at most HOT_KEYS combinations the longest is taken.
+HOT_LEAST, HOT_RUN, HOT_KEYS = 200, 3, 600
 
 
 class SizeRule:
@@ -122,15 +125,29 @@ def ranked_tokens(sets: DataFrame) -> DataFrame:
     return rows.join(held, "token").groupBy("sid").agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ranked"))
 
 
-def _list_keys(rule: SizeRule, run_length: int, hot: int):
+def _run_lengths(rule: SizeRule, most: int):
+    """For a set's size the numbers of tokens that its combinations have: one for each size of a partner as large or larger.
+
+    Two sets meet over combinations of the length that suits the larger one; larger sets never ask for longer ones.
+    """
+
+    @lru_cache(maxsize=None)
+    def suits(size: int) -> int:
+        spare = size - ceil(rule.t * size)
+        return max((r for r in range(1, most + 1) if comb(spare + r, r) <= HOT_KEYS), default=1)
+
+    return lru_cache(maxsize=None)(lambda size: tuple(range(suits(floor(size / rule.t)), suits(size) + 1)))
+
+
+def _list_keys(rule: SizeRule, most: int, hot: int):
     """Emit the inverted-list keys of each set: its rarest tokens, or combinations where the tokens are frequent.
 
     A result shares at least ``c = ceil(t * size)`` tokens of each side, so it shares one of the first ``s - c + 1``.
-    If the first token shared is frequent, so are all later ones; the first ``run_length`` shared ones then lie within
-    the first ``s - c + run_length`` tokens of both sides. No two sets of the scan share fewer than that.
+    If the first token shared is frequent, so are all later ones; the first ``r`` shared ones then lie within the first
+    ``s - c + r`` tokens of both sides. No two sets of the scan share fewer than ``most``.
     """
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lengths = _run_lengths(rule, most)
         for batch in batches:
             sid, size, key = [], [], []
             for ident, s, ranked in zip(batch["sid"], batch["size"], batch["ranked"]):
@@ -138,9 +155,9 @@ def _list_keys(rule: SizeRule, run_length: int, hot: int):
                 prefix = [x["token"] for x in ranked if x["df"] <= hot][: s - c + 1]
                 keys = [xxhash.xxh3_64_intdigest(t.to_bytes(8, "little", signed=True)) for t in prefix]
                 if len(prefix) < s - c + 1:
-                    r = run_length
-                    frequent = [x["token"] for i, x in enumerate(ranked[: s - c + r]) if x["df"] > hot]
-                    keys += [xxhash.xxh3_64_intdigest(np.array(x, np.int64).tobytes(), seed=r) for x in itertools.combinations(frequent, r)]
+                    for r in lengths(s):
+                        frequent = [x["token"] for x in ranked[: s - c + r] if x["df"] > hot]
+                        keys += [xxhash.xxh3_64_intdigest(np.array(x, np.int64).tobytes(), seed=r) for x in itertools.combinations(frequent, r)]
                 key += [k - (1 << 63) for k in keys]
                 sid += [ident] * len(keys)
                 size += [s] * len(keys)
@@ -149,11 +166,10 @@ def _list_keys(rule: SizeRule, run_length: int, hot: int):
     return run
 
 
-def _large_pairs(sets: DataFrame, rule: SizeRule, small: int, total: int) -> DataFrame:
-    hot = max(HOT_LEAST, int(HOT_SHARE * total))
+def _large_pairs(sets: DataFrame, rule: SizeRule, small: int) -> DataFrame:
     reach = ceil(rule.t * (small + 1))
     ranked = ranked_tokens(sets.where(F.size("tokens") >= reach))
-    keys = ranked.mapInPandas(_list_keys(rule, min(HOT_RUN, rule.need(reach, reach)), hot), "sid binary, size int, k bigint")
+    keys = ranked.mapInPandas(_list_keys(rule, min(HOT_RUN, rule.need(reach, reach)), HOT_LEAST), "sid binary, size int, k bigint")
     t = float(rule.t)
     other = keys.select(F.col("sid").alias("other"), F.col("size").alias("other_size"), "k")
     close = (F.least("size", "other_size") >= F.greatest("size", "other_size") * F.lit(t) - 1e-9) & (F.greatest("size", "other_size") > small)
@@ -164,8 +180,7 @@ def distinct_set_pairs(sets: DataFrame, threshold: float = THRESHOLD, budget: in
     """``(sa, sb, overlap, jaccard)`` over distinct sets ``(sid, tokens)``: all pairs that reach the threshold."""
     rule = SizeRule(threshold)
     small = rule.largest_small(budget)
-    total = sets.count()
-    found = _small_pairs(sets, rule, small).unionByName(_large_pairs(sets, rule, small, total)).distinct()
+    found = _small_pairs(sets, rule, small).unionByName(_large_pairs(sets, rule, small)).distinct()
     a = sets.select(F.col("sid").alias("sa"), F.col("tokens").alias("ta"))
     b = sets.select(F.col("sid").alias("sb"), F.col("tokens").alias("tb"))
     both = F.size(F.array_intersect("ta", "tb"))

@@ -9,14 +9,15 @@ left of the anchor for one multiple ``a`` of ``step``, so both texts hold the sa
 ``anchor - a`` on. The hash of that slice is the join key; windows that cannot hold a whole run together are dropped in
 the join. A text has about ``2 n / length`` anchors, so the index is far smaller than the text.
 
-Keys shared by many texts (a licence text somewhat shorter than ``length`` in a third of the files, say) are taken out
-and joined again by slices that are only ``FINE`` characters shorter than a run, so that nearly all their candidates
+Keys shared by many texts (a licence text somewhat shorter than ``length`` in a third of the files, say) are taken out,
+and the texts that hold them are joined again by slices that are only ``FINE`` characters shorter than a run, so that nearly all their candidates
 hold. Candidates are verified on the texts; nothing is capped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -33,7 +34,6 @@ GRAM = 16
 COARSE, FINE = 100, 10
 #: Distinct texts above which a key is joined by the finer slices.
 CROWD = 48
-BUCKETS = 1 << 18
 #: Min-hashes of a passage, and how many of them two passages must share.
 HASHES, AGREE = 3, 3
 
@@ -113,9 +113,8 @@ def _anchored(text: str, length: int, step: int) -> tuple[np.ndarray, np.ndarray
     return key[first], np.maximum.reduceat(left, first), np.maximum.reduceat(right, first)
 
 
-def _window_keys(texts: DataFrame, length: int, step: int, only: np.ndarray | None = None) -> DataFrame:
-    """``(key, tid, n, room_left, room_right)`` for ``texts(tid, n, text)``; ``only`` limits to texts with a coarse key in these buckets."""
-    chosen = None if only is None else texts.sparkSession.sparkContext.broadcast(only)
+def _window_keys(texts: DataFrame, length: int, step: int) -> DataFrame:
+    """``(key, tid, n, room_left, room_right)`` for ``texts(tid, n, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -134,10 +133,6 @@ def _window_keys(texts: DataFrame, length: int, step: int, only: np.ndarray | No
                     continue  # copies within a task are indexed once
                 seen.add((tid, n))
                 body = bodies[i].as_py()
-                if chosen is not None:
-                    coarse = _anchored(body, length, COARSE)
-                    if coarse is None or not chosen.value[(coarse[0] % np.uint64(BUCKETS)).astype(np.int64)].any():
-                        continue
                 found = _anchored(body, length, step)
                 if found is None:
                     continue
@@ -168,14 +163,18 @@ def _runs(length: int):
         return [{"start": int(b), "end": int(e)} for b, e in zip(begin, end)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        @lru_cache(maxsize=4)  # the candidates of a second text follow one another
+        def hashed(text: str) -> tuple[np.ndarray, np.ndarray]:
+            grams = Slices(code_points(text)).grams(length)
+            return grams, np.argsort(grams, kind="stable")
+
         for batch in batches:
             keep, own, theirs = [], [], []
             for i in range(batch.num_rows):
                 a, b = batch.column("text")[i].as_py(), batch.column("text2")[i].as_py()
-                ga, gb = Slices(code_points(a)).grams(length), Slices(code_points(b)).grams(length)
+                (ga, _), (gb, order) = hashed(a), hashed(b)
                 at = np.flatnonzero(np.isin(ga, gb))
                 if len(at):  # compared exactly, not by hash
-                    order = np.argsort(gb, kind="stable")
                     to = order[np.searchsorted(gb, ga[at], sorter=order)]
                     at = at[[a[x : x + length] == b[y : y + length] for x, y in zip(at.tolist(), to.tolist())]]
                 if len(at):
@@ -212,13 +211,12 @@ def shared_spans(files: DataFrame, length: int = LENGTH, key: str = "file_id") -
     keys = scratch.cut(_window_keys(texts, length, coarse_step), "keys")
     crowded = scratch.cut(keys.groupBy("key").agg(F.count("*").alias("held")).where(F.col("held") > CROWD).select("key"), "crowded")
     candidates = _meet(keys.join(crowded, "key", "left_anti"), length)
-    buckets = np.zeros(BUCKETS, bool)
-    for row in crowded.select((F.col("key").bitwiseAND(F.lit(BUCKETS - 1))).alias("b")).distinct().collect():
-        buckets[row["b"]] = True
-    if buckets.any() and coarse_step == COARSE:
-        candidates = candidates.unionByName(_meet(_window_keys(texts, length, FINE, buckets), length)).distinct()
-    elif buckets.any():
-        candidates = _meet(keys, length)
+    if not crowded.isEmpty():
+        if coarse_step == COARSE:
+            holders = scratch.cut(keys.join(crowded, "key", "left_semi").select("tid", "n").distinct(), "holders")
+            candidates = candidates.unionByName(_meet(_window_keys(texts.join(holders, ["tid", "n"], "left_semi"), length, FINE), length)).distinct()
+        else:
+            candidates = _meet(keys, length)
     candidates = scratch.cut(candidates, "candidates")
     scratch.drop(keys)
     involved = candidates.select("tid", "n").unionByName(candidates.select(F.col("tid2").alias("tid"), F.col("n2").alias("n"))).distinct()
