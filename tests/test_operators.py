@@ -442,3 +442,54 @@ def test_stream_reports_each_key_once(spark, tmp_path):
         watch_keys(spark.readStream.schema(schema).parquet(source), "normalized_key", out, check).awaitTermination()
         assert spark.read.parquet(out).count() == expected
         spark.createDataFrame([("a", None, "r"), ("b", None, "r")], schema).coalesce(1).write.mode("append").parquet(source)
+
+
+def test_windows_of_a_stream_leave_out_late_rows(spark, tmp_path):
+    from datetime import datetime
+
+    from twinsift.streaming.incremental import windowed_deliveries
+
+    schema = "rule_id bigint, repo string, seen_at timestamp"
+    source, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    day = lambda d, h=1: datetime(2024, 3, d, h)
+    batches = ([(1, "r", day(1)), (2, "r", day(1, 5)), (3, "s", day(1)), (4, "r", None), (5, "r", day(9))], [(6, "r", day(1)), (7, "r", day(9)), (8, "r", day(20))], [(9, "r", day(28))])
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        counted = windowed_deliveries(spark.readStream.schema(schema).parquet(source), "seen_at")
+        counted.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r["start"].day, r["repo"], r["deliveries"]) for r in spark.read.parquet(out).collect())
+    assert got == [(1, "r", 2), (1, "s", 1), (9, "r", 2), (20, "r", 1)]  # the second batch's row of the first day came too late
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from twinsift import session
+
+    nothing = SimpleNamespace(get=lambda *_: None)
+    cluster = SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: nothing, master="spark://host:7077"), conf=nothing)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(cluster)
+    cluster.sparkContext.master = "local[4]"
+    assert session.shared_dir(cluster).startswith("file:")
+
+
+def test_public_names():
+    import twinsift
+
+    assert all(getattr(twinsift, name) is not None for name in twinsift.__all__) and "run_audit" in twinsift.__all__
+    with pytest.raises(AttributeError):
+        twinsift.nothing
+
+
+def test_needles_with_a_common_beginning(spark):
+    """Half of all names begin alike, and so do the texts: the rarest run of each name looks it up."""
+    names = [(i, f"getOrder{chr(97 + i)}{chr(110 + i % 9)}", "") for i in range(12)]
+    texts = [(f"{i}.json", i, "getOrder " * 20 + (names[i % 12][1] if i % 3 == 0 else "")) for i in range(40)] + [("n.json", 50, None), ("e.json", 51, "")]
+    got = {r["needle"]: r["path"] for r in reach.mentions(spark.createDataFrame(names, "id int, needle string, exclude string"), spark.createDataFrame(texts, "path string, ord int, text string")).collect()}
+    want = {}
+    for _, needle, _ in names:
+        held = [(o, p) for p, o, t in texts if t and needle in t]
+        if held:
+            want[needle] = min(held)[1]
+    assert got == want and len(want) == 4

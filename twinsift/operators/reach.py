@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,17 +62,52 @@ def dead_exports(exports: DataFrame, used: DataFrame, live: DataFrame, entries:
     return unused.join(own_uses, ["path", "name"], "left").where((F.col("name") == "default") | (F.coalesce("n", F.lit(0)) <= 1)).select("path", "name", "line")
 
 
+#: Entries of the filter over needles' grams: a fixed size, whatever the needles.
+FILTER = 1 << 20
+
+
+def _bucket(gram: str) -> int:
+    return zlib.crc32(gram.encode("utf-8", "surrogatepass")) & (FILTER - 1)
+
+
+def _held_grams(texts: DataFrame, least: int, wanted: np.ndarray) -> DataFrame:
+    """``(tid, gram)``: the distinct runs of ``least`` characters of each text that pass the filter, in one pass over it."""
+    chosen = texts.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = chosen.value
+        for batch in batches:
+            tids, grams = [], []
+            for tid, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                body = text.as_py()
+                kept = [g for g in {body[i : i + least] for i in range(len(body) - least + 1)} if bits[_bucket(g)]]
+                tids += [tid] * len(kept)
+                grams += kept
+            yield pa.RecordBatch.from_arrays([pa.array(tids, pa.int64()), pa.array(grams, pa.string())], names=["tid", "gram"])
+
+    return texts.select("tid", "text").mapInArrow(run, "tid bigint, gram string")
+
+
 def mentions(needles: DataFrame, texts: DataFrame, least: int = 4) -> DataFrame:
     """``(id, needle, path)``: the first text of another file that holds a needle.
 
     ``needles(id, needle, exclude)``, ``texts(path, ord, text)``. Needles of fewer than ``least`` characters and generic
-    names never count alone. The join is by the needle's first ``least`` characters, over the runs of that length in each
-    text, so no text is held against every needle.
+    names never count alone. Each needle is looked up by the one of its runs of ``least`` characters that the fewest texts
+    hold, counted over all texts; one with a run that no text holds is nowhere. So a common beginning is no hot key, and
+    no text is held against every needle.
     """
+    scratch = Scratch(needles.sparkSession, "mentions")
     fit = needles.where((F.length("needle") >= least) & ~F.col("needle").isin(*GENERIC_NAMES))
+    starts = F.sequence(F.lit(1), F.length("needle") - least + 1)
+    own = fit.select("needle").distinct().select("needle", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring("needle", i, F.lit(least))))).alias("gram"))
+    own = scratch.cut(own, "needles")
+    wanted = np.zeros(FILTER, bool)
+    for row in own.select(F.crc32(F.encode("gram", "UTF-8")).bitwiseAND(F.lit(FILTER - 1)).alias("b")).distinct().collect():  # at most FILTER rows
+        wanted[row["b"]] = True
     kept = texts.select(F.xxhash64("path", "ord", "text").alias("tid"), "path", "ord", "text").where(F.length("text") >= least)
-    start = F.sequence(F.lit(1), F.length("text") - least + 1)
-    grams = kept.select("tid", "path", F.explode(F.array_distinct(F.transform(start, lambda i: F.substring("text", i, F.lit(least))))).alias("gram"))
-    near = fit.withColumn("gram", F.substring("needle", 1, least)).join(grams, "gram").where(F.col("path") != F.col("exclude")).select("id", "needle", "tid").distinct()
-    hit = near.join(kept, "tid").where(F.contains("text", F.col("needle")))
+    held = scratch.cut(_held_grams(kept, least, wanted), "grams")
+    counts = held.groupBy("gram").agg(F.count("*").alias("n"))
+    rare = own.join(counts, "gram", "left").groupBy("needle").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("gram"))
+    near = fit.join(rare, "needle").join(held, "gram").select("id", "needle", "exclude", "tid")
+    hit = near.join(kept, "tid").where((F.col("path") != F.col("exclude")) & F.contains("text", F.col("needle")))
     return hit.groupBy("id", "needle").agg(F.min_by("path", F.struct("ord", "path")).alias("path"))

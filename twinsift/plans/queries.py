@@ -15,6 +15,7 @@ from twinsift.operators.resolve import resolve_specifiers
 from twinsift.operators.ted import confirm_trees
 from twinsift.session import table
 from twinsift.sources import css, script
+from twinsift.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -122,17 +123,24 @@ def posting_lengths(spark, folder):
     return similarity.postings(units(spark, folder), "unit_id").groupBy("feature").agg(F.count("*").alias("held"))
 
 
+#: The audit's cut: of the groups of equal normalised keys the first units are compared, over features that few of these hold.
 _CANDIDATES = f"""
-WITH {_UNITS}, p AS (SELECT unit_id, unnest(features) AS f FROM u), kept AS (SELECT f FROM p GROUP BY f HAVING count(*) <= 64),
+WITH {_UNITS}, h AS (SELECT * FROM (SELECT *, min(unit_id) OVER (PARTITION BY normalized) AS head FROM u WHERE normalized IS NOT NULL) WHERE unit_id = head),
+p AS (SELECT unit_id, unnest(features) AS f FROM h), kept AS (SELECT f FROM p GROUP BY f HAVING count(*) <= 64),
 k AS (SELECT p.* FROM p JOIN kept USING (f)), s AS (SELECT unit_id, count(*) AS n FROM k GROUP BY 1),
 met AS (SELECT x.unit_id AS a, y.unit_id AS b, count(*) AS overlap FROM k x JOIN k y ON x.f = y.f AND x.unit_id < y.unit_id GROUP BY 1, 2),
 c AS (SELECT a, b, overlap, overlap / (sa.n + sb.n - overlap) AS jaccard, sa.n AS na, sb.n AS nb FROM met JOIN s sa ON sa.unit_id = a JOIN s sb ON sb.unit_id = b)
 """
 
 
+def _heads(spark: SparkSession, folder: str) -> DataFrame:
+    own = units(spark, folder)
+    return own.join(similarity.exact_groups(own, "normalized", "unit_id").where("unit_id = head").select("unit_id"), "unit_id", "left_semi")
+
+
 @query(_CANDIDATES + "SELECT a, b, overlap, jaccard FROM c WHERE jaccard >= 0.4")
 def candidate_pairs(spark, folder):
-    return similarity.candidate_pairs(units(spark, folder), 0.4, 64, "unit_id")
+    return similarity.candidate_pairs(_heads(spark, folder), 0.4, 64, "unit_id")
 
 
 _SIMILAR_RULES = f"""
@@ -150,7 +158,7 @@ def rule_candidates(spark, folder):
 @query(_CANDIDATES + ", z AS (SELECT c.*, ua.size AS sa, ub.size AS sb FROM c JOIN u ua ON ua.unit_id = a JOIN u ub ON ub.unit_id = b) SELECT a, b, least(sa, sb) / greatest(sa, sb) AS bound FROM z WHERE jaccard >= 0.4 AND greatest(sa, sb) > 0 AND least(sa, sb) / greatest(sa, sb) >= 0.85")
 def comparable_pairs(spark, folder):
     """Candidates whose sizes leave room for the threshold."""
-    own = units(spark, folder)
+    own = _heads(spark, folder)
     pairs = similarity.candidate_pairs(own, 0.4, 64, "unit_id")
     for side in "ab":
         pairs = pairs.join(own.select(F.col("unit_id").alias(side), F.col("size").alias(f"s{side}")), side)
@@ -389,10 +397,11 @@ def baseline_known(spark, folder):
 
 # -- graphs --------------------------------------------------------------------------------------------------------
 
+#: Every customer is an entry.
 _GRAPH = """arc AS (
   SELECT 'c' || c_custkey AS src, 'o' || o_orderkey AS dst FROM customer JOIN orders ON c_custkey = o_custkey
   UNION SELECT 'o' || l_orderkey, 'p' || l_partkey FROM lineitem UNION SELECT 'o' || l_orderkey, 's' || l_suppkey FROM lineitem),
-start AS (SELECT 'c' || c_custkey AS id FROM customer WHERE c_mktsegment = 'BUILDING' AND c_custkey % 7 = 0),
+start AS (SELECT 'c' || c_custkey AS id FROM customer),
 live(id) AS (SELECT id FROM start UNION SELECT dst FROM live JOIN arc ON arc.src = live.id)"""
 
 
@@ -402,41 +411,44 @@ def _graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     arcs = customer.join(orders, F.col("c_custkey") == F.col("o_custkey")).select(key("c", "c_custkey").alias("src"), key("o", "o_orderkey").alias("dst"))
     for letter, column in (("p", "l_partkey"), ("s", "l_suppkey")):
         arcs = arcs.unionByName(lineitem.select(key("o", "l_orderkey").alias("src"), key(letter, column).alias("dst")).distinct())
-    start = customer.where("c_mktsegment = 'BUILDING' AND c_custkey % 7 = 0").select(key("c", "c_custkey").alias("id"))
-    return arcs, start
+    return arcs, customer.select(key("c", "c_custkey").alias("id"))
 
 
-@query(f"WITH RECURSIVE {_GRAPH} SELECT id FROM live")
-def reachable(spark, folder):
-    return reach.reachable(*_graph(spark, folder))
+#: The customers of one whole market segment are the entries.
+_SEGMENT = _GRAPH.replace("FROM customer)", "FROM customer WHERE c_mktsegment = 'BUILDING')")
 
 
-@query(f"WITH RECURSIVE {_GRAPH} SELECT 'p' || p_partkey AS id FROM part WHERE 'p' || p_partkey NOT IN (SELECT id FROM live)")
-def dead_nodes(spark, folder):
-    parts = table(spark, folder, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"))
-    return reach.dead_nodes(parts, reach.reachable(*_graph(spark, folder)))
+def _segment(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    arcs, _ = _graph(spark, folder)
+    own = table(spark, folder, "customer").where("c_mktsegment = 'BUILDING'")
+    return arcs, own.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"))
 
 
-#: Every customer is an entry.
-_WHOLE_GRAPH = _GRAPH.replace(" WHERE c_mktsegment = 'BUILDING' AND c_custkey % 7 = 0", "")
+@query(f"WITH RECURSIVE {_SEGMENT} SELECT id FROM live")
+def reachable(spark, folder):
+    """What the orders of the segment's customers lead to."""
+    return reach.reachable(*_segment(spark, folder))
 
 
-def _whole_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    arcs, _ = _graph(spark, folder)
-    return arcs, table(spark, folder, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"))
+@query(f"WITH RECURSIVE {_SEGMENT} SELECT id FROM (SELECT 'p' || p_partkey AS id FROM part UNION ALL SELECT 'o' || o_orderkey FROM orders) WHERE id NOT IN (SELECT id FROM live)")
+def dead_nodes(spark, folder):
+    """Orders and parts that no customer of the segment leads to."""
+    parts = table(spark, folder, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"))
+    placed = table(spark, folder, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("id"))
+    return reach.dead_nodes(parts.unionByName(placed), reach.reachable(*_segment(spark, folder)))
 
 
-@query(f"WITH RECURSIVE {_WHOLE_GRAPH} SELECT id FROM live")
+@query(f"WITH RECURSIVE {_GRAPH} SELECT id FROM live")
 def whole_reachable(spark, folder):
-    """``reachable`` from every customer."""
-    return reach.reachable(*_whole_graph(spark, folder))
+    """What the orders of all customers lead to."""
+    return reach.reachable(*_graph(spark, folder))
 
 
-@query(f"WITH RECURSIVE {_WHOLE_GRAPH} SELECT 'p' || p_partkey AS id FROM part WHERE 'p' || p_partkey NOT IN (SELECT id FROM live)")
+@query(f"WITH RECURSIVE {_GRAPH} SELECT 'p' || p_partkey AS id FROM part WHERE 'p' || p_partkey NOT IN (SELECT id FROM live)")
 def whole_dead_nodes(spark, folder):
     """Parts that no customer's order reaches."""
     parts = table(spark, folder, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"))
-    return reach.dead_nodes(parts, reach.reachable(*_whole_graph(spark, folder)))
+    return reach.dead_nodes(parts, reach.reachable(*_graph(spark, folder)))
 
 
 _IMPORTS = f"""{_FILES}, imp AS (SELECT repo, path AS src, unnest(regexp_extract_all(text, '(?:from|import|require\\()\\s*[''"](\\.[^''"]+)[''"]', 1)) AS specifier FROM f WHERE text IS NOT NULL)"""
@@ -467,6 +479,40 @@ def resolved_imports(spark, folder):
     return resolve_specifiers(_imports(spark, folder), files(spark, folder).select("repo", "path"), scope="repo").select("repo", "src", "specifier", "dst").distinct()
 
 
+#: In the order of paths each file asks for two later ones of its repository: without its extension, or by the compiled one; from its own folder or the root.
+_ASKED = f"""{_FILES}, d AS (SELECT repo, path, regexp_replace(path, '[^/]*$', '') AS dir, regexp_replace(list_extract(string_split(path, '/'), -1), '\\.[^./]+$', '') AS base, lower(regexp_extract(path, '(\\.[^./]+)$', 1)) AS ext, row_number() OVER (PARTITION BY repo ORDER BY path) AS place FROM f WHERE repo IS NOT NULL AND path IS NOT NULL),
+q AS (SELECT x.repo, x.path AS src, x.dir AS own, y.dir, y.base, y.ext FROM d x JOIN d y ON x.repo = y.repo AND x.place = y.place // 2),
+a AS (SELECT DISTINCT repo, src, dir || base AS bare, CASE WHEN dir = own THEN './' ELSE '/' || dir END || base || CASE WHEN ext = '.ts' THEN '.js' ELSE '' END AS specifier, ext FROM q),
+c AS (SELECT repo, src, specifier, unnest(CASE WHEN ext = '.ts' THEN ['.js', '.ts', '.tsx', '.jsx'] ELSE ['', '.ts', '.tsx', '.d.ts', '.mts', '.cts', '.js', '.jsx', '.mjs', '.cjs', '.css', '/index.ts', '/index.tsx', '/index.d.ts', '/index.mts', '/index.cts', '/index.js', '/index.jsx', '/index.mjs', '/index.cjs', '/index.css'] END) AS tail, unnest(CASE WHEN ext = '.ts' THEN range(0, 4) ELSE range(0, 21) END) AS place, bare FROM a),
+hit AS (SELECT c.repo, src, specifier, min_by(d.path, c.place) AS dst FROM c JOIN d ON d.repo = c.repo AND d.path = bare || tail GROUP BY ALL)"""
+
+
+def _siblings(spark: SparkSession, folder: str) -> DataFrame:
+    path = F.col("path")
+    own = files(spark, folder).where("repo IS NOT NULL AND path IS NOT NULL").select(
+        "repo", "path", F.regexp_replace("path", "[^/]*$", "").alias("dir"), scalar.base_name(scalar.without_extension(path)).alias("base"), scalar.extension(path).alias("ext"), F.row_number().over(Window.partitionBy("repo").orderBy("path")).alias("place")
+    )
+    later = own.select("repo", "dir", "base", "ext", (F.floor(F.col("place") / 2)).alias("place"))
+    asked = own.select("repo", path.alias("src"), F.col("dir").alias("own"), "place").join(later, ["repo", "place"])
+    start = F.when(F.col("dir") == F.col("own"), "./").otherwise(F.concat(F.lit("/"), "dir"))
+    return asked.select("repo", "src", F.concat(start, "base", F.when(F.col("ext") == ".ts", ".js").otherwise("")).alias("specifier")).distinct()
+
+
+@query(f"WITH {_ASKED} SELECT repo, src, specifier, dst FROM hit WHERE src <> dst")
+def resolved_siblings(spark, folder):
+    """Specifiers resolved by the ordered candidates: the path itself, the source of a compiled name, extensions, index files."""
+    return resolve_specifiers(_siblings(spark, folder), files(spark, folder).select("repo", "path"), scope="repo").select("repo", "src", "specifier", "dst")
+
+
+@query(f"WITH RECURSIVE {_ASKED}, live(repo, path) AS (SELECT repo, min(path) FROM d GROUP BY repo UNION SELECT hit.repo, hit.dst FROM live JOIN hit ON hit.repo = live.repo AND hit.src = live.path) SELECT repo, path FROM live")
+def module_graph(spark, folder):
+    """The files that each repository's first file leads to over resolved specifiers."""
+    place = lambda c: F.struct("repo", F.col(c).alias("path"))
+    edges = resolved_siblings(spark, folder).select(place("src").alias("src"), place("dst").alias("dst"))
+    first = files(spark, folder).where("repo IS NOT NULL AND path IS NOT NULL").groupBy("repo").agg(F.min("path").alias("path"))
+    return reach.reachable(edges, first.select(F.struct("repo", "path").alias("id"))).select("id.repo", "id.path")
+
+
 _EXPORTS = "ex AS (SELECT DISTINCT path, name FROM u WHERE name IS NOT NULL), ed AS (SELECT DISTINCT ua.path AS src, ub.path AS dst, CASE WHEN e.similarity >= 0.97 THEN '*' ELSE ub.name END AS name FROM edges e JOIN u ua ON ua.unit_id = e.a JOIN u ub ON ub.unit_id = e.b WHERE e.similarity >= 0.85 AND e.similarity <= 1 AND ub.name IS NOT NULL), live AS (SELECT DISTINCT path AS id FROM u WHERE size >= 60)"
 
 
@@ -535,6 +581,88 @@ def declaration_sets(spark, folder):
     return plain.select("rule_id", F.array_sort(F.array_distinct(F.filter(parts, lambda d: d != ""))).alias("declarations"))
 
 
+# -- scalar rules and rollups over the tables -----------------------------------------------------------------------
+
+
+@query(f"WITH {_RULES}, d AS (SELECT rule_id, trim(list_extract(string_split(d, ':'), 1)) AS p FROM (SELECT rule_id, unnest(string_split(raw, ';')) AS d FROM r WHERE raw IS NOT NULL)) SELECT DISTINCT rule_id, CASE WHEN starts_with(p, '--') THEN p ELSE lower(p) END AS property FROM d WHERE p <> ''")
+def property_names(spark, folder):
+    parts = rules(spark, folder).where("raw IS NOT NULL").select("rule_id", F.explode(F.split("raw", ";")).alias("d"))
+    return parts.select("rule_id", scalar.normalize_property(F.element_at(F.split("d", ":"), 1)).alias("property")).where("property <> ''").distinct()
+
+
+@query("SELECT failure_id, list_filter(regexp_split_to_array(message, '[\\s&|;<>()\"''`=]+'), lambda w: w <> '') AS words FROM failures WHERE message IS NOT NULL")
+def command_words(spark, folder):
+    """The word rule of shell commands, over the log's messages."""
+    return table(spark, folder, "failures").where("message IS NOT NULL").select("failure_id", scalar.script_words(F.col("message")).alias("words"))
+
+
+@query("SELECT clone_id, array_to_string(list_filter(string_split('kept/' || source_id_a, '/'), lambda p: p <> '' AND p <> '.'), '/') AS path FROM token_clones WHERE source_id_a IS NOT NULL")
+def resolved_places(spark, folder):
+    """Source ids as paths of one folder; none of them climbs out of it."""
+    clones = table(spark, folder, "token_clones").where("source_id_a IS NOT NULL")
+    return clones.select("clone_id", scalar.resolve_path(F.lit("kept"), F.col("source_id_a")).alias("path"))
+
+
+@query(f"WITH {_FILES}, e AS (SELECT lower(regexp_extract(path, '(\\.[^./]+)$', 1)) AS ext, sum({_LINES}) AS n FROM f WHERE text IS NOT NULL GROUP BY 1) SELECT ext, printf('%.1f%%', n * 100.0 / (SELECT sum(n) FROM e)) AS share FROM e")
+def extension_shares(spark, folder):
+    counted = files(spark, folder).where("text IS NOT NULL").groupBy(scalar.extension(F.col("path")).alias("ext")).agg(F.sum(scalar.count_lines(F.col("text"))).alias("n"))
+    return counted.select("ext", scalar.percent(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy())).alias("share"))  # one row an extension
+
+
+@query(f"WITH {_UNITS} SELECT unit_id, CAST(len(list_distinct(list_transform(range(1, len(features) - 3), lambda i: list_slice(features, i, i + 4)))) AS INTEGER) AS runs FROM u WHERE features IS NOT NULL")
+def feature_runs(spark, folder):
+    """How many different runs of five a unit's sorted features hold."""
+    return units(spark, folder).where("features IS NOT NULL").select("unit_id", F.size(F.array_distinct(scalar.shingles(F.col("features")))).alias("runs"))
+
+
+@query(f"WITH {_RULES} SELECT rule_id FROM r WHERE regexp_matches(raw, '[*?\\[\\]{{}}()!]')")
+def pattern_like_keys(spark, folder):
+    return rules(spark, folder).where(scalar.glob_unsafe(F.col("raw"))).select("rule_id")
+
+
+@query(f"WITH {_FILES} SELECT file_id FROM f WHERE regexp_matches(path, '^([^/]+/)*(ui|server)/[^/]+/[a-m][^/]*\\.(ts|css)$') OR regexp_matches(path, '^packages/[^/]+/app/')")
+def ignored_by_patterns(spark, folder):
+    return files(spark, folder).where(F.col("path").rlike(globs_to_regex(("**/{ui,server}/*/[a-m]*.{ts,css}", "packages/*/app/**")))).select("file_id")
+
+
+_DAYS = "SELECT date_trunc('day', seen_at) AS start, date_trunc('day', seen_at) + INTERVAL 1 DAY AS \"end\", repo, count(*) AS deliveries FROM css_rules WHERE seen_at IS NOT NULL GROUP BY ALL"
+
+
+@query(_DAYS)
+def deliveries_a_day(spark, folder):
+    """The windowed counts of the stream over the whole table at once: no row is late then."""
+    return incremental.windowed_deliveries(table(spark, folder, "css_rules"), "seen_at")
+
+
+_MARKED = f"{_MEMBERS}, n AS (SELECT cluster_id AS path, CASE lower(kind) WHEN 'identical' THEN 'copy' WHEN 'normalized' THEN 'rename' ELSE 'literals' END AS kind FROM clone_clusters), hit AS (SELECT DISTINCT cluster AS path FROM m WHERE end_line - start_line >= 20)"
+
+
+@query(
+    f"""WITH {_MARKED}, c AS (SELECT n.kind, hit.path IS NOT NULL AS hit FROM n LEFT JOIN hit USING (path)),
+k AS (SELECT unnest({list(calibrate.MUTATIONS)}) AS kind), r AS (SELECT k.kind, count(c.kind) AS attempted, count(c.kind) FILTER (WHERE hit) AS detected FROM k LEFT JOIN c USING (kind) GROUP BY 1
+UNION ALL SELECT 'overall', count(*), count(*) FILTER (WHERE hit) FROM c)
+SELECT kind, attempted, detected, CASE WHEN attempted = 0 THEN 0.0 ELSE CAST(detected AS DOUBLE) / attempted END AS recall FROM r"""
+)
+def recall_by_kind(spark, folder):
+    """The recall table, with logged groups in the place of mutants: those with a member of more than 20 lines count as found."""
+    kind = F.when(F.lower("kind") == "identical", "copy").when(F.lower("kind") == "normalized", "rename").otherwise("literals")
+    marked = table(spark, folder, "clone_clusters").select(F.col("cluster_id").alias("path"), kind.alias("kind"))
+    return calibrate.recall(marked, _members(spark, folder).where("end_line - start_line >= 20").select(F.col("cluster").alias("path")).distinct())
+
+
+@query(
+    f"""WITH {_UNITS}, {_EXPORTS}, {_USED}, own AS (SELECT path, name, count(*) AS n FROM u WHERE name IS NOT NULL GROUP BY 1, 2), ent AS (SELECT DISTINCT path FROM u WHERE size >= 250)
+SELECT path, name FROM ex LEFT JOIN own USING (path, name) WHERE path IN (SELECT id FROM live) AND path NOT IN (SELECT path FROM ent) AND (path, name) NOT IN (SELECT path, name FROM used) AND (name = 'default' OR coalesce(n, 0) <= 1)"""
+)
+def dead_exports_but_entries(spark, folder):
+    """Files with a very large unit are entries; a name that its file has more than once is used there."""
+    edges, exports, live = _exports(spark, folder)
+    named = units(spark, folder).where("name IS NOT NULL")
+    entries = units(spark, folder).where("size >= 250").select(F.col("path").alias("id")).distinct()
+    found = reach.dead_exports(exports.withColumn("line", F.lit(1)), reach.used_exports(edges, exports, live), live, entries, named.groupBy("path", "name").agg(F.count("*").alias("n")))
+    return found.select("path", "name")
+
+
 # -- readers, without SQL ------------------------------------------------------------------------------------------
 
 

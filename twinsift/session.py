@@ -27,10 +27,15 @@ def build_session(cores: int | str = "*", app: str = "twinsift", **conf: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (local tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset in a local session.
+
+    On a cluster the setting is required: a folder of one machine would not survive it, nor be seen by the others.
+    """
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     fallback = os.path.join(tempfile.gettempdir(), f"twinsift-{os.getuid()}-{os.getpid()}")
     os.makedirs(fallback, exist_ok=True)
     return f"file://{fallback}"
