@@ -160,17 +160,48 @@ u AS (SELECT unit_id AS id, any_value(list_distinct(list_filter(features, lambda
 e AS (SELECT id, len(s) AS n, unnest(s) AS f FROM u),
 unit_met AS (SELECT x.id AS a, y.id AS b, count(*) AS o, any_value(x.n + y.n) AS n FROM e x JOIN e y ON x.f = y.f AND x.id < y.id AND x.n * 5 >= y.n * 4 AND y.n * 5 >= x.n * 4 GROUP BY 1, 2)
 """
+
+#: Classes of equal sets, pairs of classes that reach the threshold, and how many a class has; ``sets`` holds ``id, s``, sorted.
+_CLASSES = """
+rep AS (SELECT s, min(id) AS class_id FROM sets GROUP BY s),
+ce AS (SELECT class_id, len(s) AS n, unnest(s) AS f FROM rep),
+cm AS (SELECT x.class_id AS a, y.class_id AS b, count(*) AS o, any_value(x.n + y.n) AS n FROM ce x JOIN ce y ON x.f = y.f AND x.class_id < y.class_id AND x.n * 100 >= {t} * y.n AND y.n * 100 >= {t} * x.n GROUP BY 1, 2),
+link AS (SELECT a, b FROM cm WHERE o * 100 >= {t} * (n - o)),
+degree AS (SELECT id AS class_id, count(*) AS links FROM (SELECT a AS id FROM link UNION ALL SELECT b FROM link) GROUP BY 1)
+SELECT id AS {key}, class_id, coalesce(links, 0) AS links FROM sets JOIN rep USING (s) LEFT JOIN degree USING (class_id)
+"""
+#: Stretches of each file whose runs of 300 characters another file has too; equal texts included.
+_STRETCHES = """
+WITH t AS (SELECT file_id, max(repo) AS repo, max(path) AS path, max(text) AS text FROM source_files WHERE file_id IS NOT NULL AND length(text) >= 300 GROUP BY file_id),
+g AS (SELECT file_id, p, substr(text, p, 300) AS run FROM (SELECT file_id, text, unnest(range(1, length(text) - 298)) AS p FROM t)),
+two AS (SELECT run FROM g GROUP BY run HAVING min(file_id) <> max(file_id)),
+sh AS (SELECT file_id, p FROM g JOIN two USING (run)),
+o AS (SELECT file_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY file_id ORDER BY p) <= 300 THEN 0 ELSE 1 END AS fresh FROM sh),
+i AS (SELECT file_id, p, sum(fresh) OVER (PARTITION BY file_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS island FROM o),
+st AS (SELECT file_id, min(p) - 1 AS s, max(p) + 299 AS e FROM i GROUP BY file_id, island)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     words = _WORDS.format(last=2, run="w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]")
+    words5 = _WORDS.format(last=4, run=" || ' ' || ".join(f"w[i + {k}]" for k in range(5))).replace("w[i + 0]", "w[i]").split("met AS")[0].rstrip().rstrip(",")
     return {
         "p1_found": _P1 + "SELECT rule_a, rule_b FROM pair WHERE o * 100 >= 85 * (n - o)",
         "p1_pairs": _P1 + "SELECT rule_a, rule_b, o / (n - o) AS jaccard FROM pair WHERE o * 100 >= 85 * (n - o)",
+        "p1_classes": "WITH sets AS (SELECT rule_id AS id, list_sort(any_value(list_distinct(list_filter(features, lambda x: x IS NOT NULL)))) AS s FROM (SELECT rule_id, features FROM css_rules UNION ALL SELECT rule_id, features FROM library_rules) WHERE rule_id IS NOT NULL AND features IS NOT NULL GROUP BY rule_id HAVING len(s) >= 3)," + _CLASSES.format(t=85, key="rule_id"),
         "p3_found": _P3 + "SELECT group_id, unit_id FROM g",
         "p3_sizes": _P3 + "SELECT group_id, count(*) AS members FROM g GROUP BY group_id",
         "p5_found": f"""
 WITH {words}, {_UNITS}
 SELECT 'file' AS rec, a, b FROM met JOIN size x ON x.id = a JOIN size y ON y.id = b WHERE o * 10 >= 7 * (x.n + y.n - o)
 UNION ALL SELECT 'unit', a, b FROM unit_met WHERE o * 10 >= 8 * (n - o)""",
+        "p5_file_classes": f"WITH {words5}, sets AS (SELECT id, list_sort(list(f)) AS s FROM shingle GROUP BY id)," + _CLASSES.format(t=80, key="id"),
+        "p5_unit_classes": f"WITH {_UNITS}, sets AS (SELECT id, list_sort(s) AS s FROM u WHERE len(s) > 0)," + _CLASSES.format(t=80, key="id"),
+        "p6_fragments": _STRETCHES + """
+SELECT repo || '/' || path AS source_id, file_id, CAST(s AS INTEGER) AS "start", CAST(e AS INTEGER) AS "end",
+  CAST(len(regexp_extract_all(substr(text, 1, s), '\\r\\n|\\r|\\n')) + 1 AS INTEGER) AS start_line, CAST(len(regexp_extract_all(substr(text, 1, e - 1), '\\r\\n|\\r|\\n')) + 1 AS INTEGER) AS end_line
+FROM st JOIN t USING (file_id)""",
+        "p6_shared": _STRETCHES + "SELECT file_id, CAST(sum(e - s) AS BIGINT) AS shared_chars, CAST(any_value(length(text)) AS BIGINT) AS n_chars, CAST(sum(e - s) AS BIGINT) / any_value(length(text)) AS share FROM st JOIN t USING (file_id) GROUP BY file_id",
         "p6_found": """
 WITH t AS (SELECT file_id, any_value(text) AS text FROM source_files WHERE file_id IS NOT NULL AND length(text) >= 300 GROUP BY file_id),
 g AS (SELECT DISTINCT file_id, substr(text, p, 300) AS run FROM (SELECT file_id, text, unnest(range(1, length(text) - 298)) AS p FROM t))
