@@ -35,6 +35,9 @@ class ConfigError(ValueError):
     """Settings that cannot be used; the message lists every problem."""
 
 
+# The names and defaults of the settings below.
+
+
 @dataclass(frozen=True)
 class DeadCodeGate:
     enabled: bool = False

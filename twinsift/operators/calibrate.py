@@ -127,7 +127,7 @@ def mutants(sampled: DataFrame, s: Structure, seed: int) -> DataFrame:
                     changed = mutate(text, tokens, partner, unit, kind, seeded_random(seed * 1_000_003 + int(ord_))())
                     if changed is not None:
                         ext = posixpath.splitext(path)[1]
-                        rows.append((f"__calibration__/{ord_}-{kind}{ext}", ext.lower(), changed, kind, path, int(line)))
+                        rows.append((f"~mutants/{ord_}-{kind}{ext}", ext.lower(), changed, kind, path, int(line)))
             yield pd.DataFrame(rows, columns=["path", "ext", "text", "kind", "origin", "origin_line"]).astype({"origin_line": "int32"})
 
     return sampled.mapInPandas(run, "path string, ext string, text string, kind string, origin string, origin_line int")

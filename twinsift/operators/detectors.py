@@ -21,6 +21,8 @@ from twinsift.sources import css as css_source
 from twinsift.sources import script
 from twinsift.sources.project import Manifest
 
+#: Paths that a note names one by one.
+NOTED = 10
 CLUSTERS = "cluster string, detector string, kind string, similarity double"
 MEMBERS = "cluster string, member int, path string, start_line int, end_line int, name string"
 FINDINGS = "kind string, path string, start_line int, end_line int, name string, reason string"
@@ -191,7 +193,14 @@ class DeadCodeDetector:
             .otherwise(F.concat(F.lit("No live file imports '"), F.col("name"), F.lit("', but "), F.col("by"), F.lit(" holds that text.")))
             .alias("reason"),
         )
-        shown = lambda frame: ", ".join(r["path"] for r in frame.select("path").distinct().orderBy("path").collect())
+
+        def shown(frame: DataFrame) -> str:
+            """The first paths and how many more there are: a note, not a list of a whole repository."""
+            paths = frame.select("path").distinct()
+            first = [r["path"] for r in paths.orderBy("path").limit(NOTED).collect()]
+            more = paths.count() - len(first) if len(first) == NOTED else 0
+            return ", ".join(first) + (f" and {more} more" if more else "")
+
         notes = [f"entry points ({entries.basis}{' + test files' if not tests.isEmpty() else ''}): {shown(entries.program)}"]
         if listed := shown(named):
             notes.append(f"live because a tool's settings name them: {listed}")

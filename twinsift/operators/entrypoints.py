@@ -13,6 +13,7 @@ from twinsift.functions.globs import globs_to_regex
 from twinsift.operators.resolve import SOURCES_OF, CompilerOptions
 from twinsift.sources.project import Manifest
 
+#: Entry points by convention, folders of compiled output, and files that tools load by their name.
 CONVENTIONAL = r"^(?:src/)?(?:index|main|cli)\.[^/.]+$"
 OUTPUT_DIRS = ("dist", "build", "lib", "out")
 TOOL_OWNED = ("**/*.config.{js,cjs,mjs,jsx,ts,cts,mts,tsx}", "**/.*rc.{js,cjs,mjs,ts,cts,mts}", "**/.*/**")
