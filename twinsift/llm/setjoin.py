@@ -204,7 +204,9 @@ def similar_sets(records: DataFrame, threshold: float = THRESHOLD) -> tuple[Data
     scratch = Scratch(records.sparkSession, "setjoin")
     keyed = scratch.cut(records.select("id", set_key().alias("sid"), "tokens"), "keyed")
     sets = scratch.cut(keyed.groupBy("sid").agg(F.first("tokens").alias("tokens")), "sets")
-    return keyed.select("id", "sid"), scratch.cut(distinct_set_pairs(sets, threshold), "links")
+    links = scratch.cut(distinct_set_pairs(sets, threshold), "links")
+    scratch.drop(sets)
+    return keyed.select("id", "sid"), links
 
 
 def expand_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
